@@ -7,6 +7,7 @@ counts only.
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -107,8 +108,13 @@ def class_counts(train: DataFrame) -> dict[int, int]:
     return {int(r[LABEL]): int(r["supporters"]) for r in label_balance(train).collect()}
 
 
-def _weighted(train: DataFrame, positive: float, negative: float) -> DataFrame:
-    return train.withColumn("_weight", F.when(F.col(LABEL) == 1, F.lit(positive)).otherwise(F.lit(negative)))
+ROWS_PER_PART = 50_000
+
+
+def _weighted(train: DataFrame, rows: int, positive: float, negative: float) -> DataFrame:
+    """Class weights, in parts of a useful size: iterative fits pay per part and iteration."""
+    return train.coalesce(max(1, math.ceil(rows / ROWS_PER_PART))).withColumn(
+        "_weight", F.when(F.col(LABEL) == 1, F.lit(positive)).otherwise(F.lit(negative)))
 
 
 def _assembler(output: str) -> VectorAssembler:
@@ -127,7 +133,7 @@ def train_logreg(train: DataFrame, max_iter: int = 1000) -> PipelineModel:
                            maxIter=max_iter, regParam=1.0 / max(1, rows), standardization=False,
                            predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_margin"),
     ]
-    return Pipeline(stages=stages).fit(_weighted(train, weight.get(1, 1.0), weight.get(0, 1.0)))
+    return Pipeline(stages=stages).fit(_weighted(train, rows, weight.get(1, 1.0), weight.get(0, 1.0)))
 
 
 def train_gbt(train: DataFrame, trees: int = 200, seed: int = 42) -> PipelineModel:
@@ -141,7 +147,7 @@ def train_gbt(train: DataFrame, trees: int = 200, seed: int = 42) -> PipelineMod
                       maxMemoryInMB=512, seed=seed, predictionCol="_pred")
         .setProbabilityCol("_prob").setRawPredictionCol("_margin"),
     ]
-    return Pipeline(stages=stages).fit(_weighted(train, ratio, 1.0))
+    return Pipeline(stages=stages).fit(_weighted(train, sum(counts.values()), ratio, 1.0))
 
 
 def score_all(model: PipelineModel, frame: DataFrame) -> DataFrame:

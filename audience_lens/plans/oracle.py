@@ -388,6 +388,19 @@ layer("frame", "scored labels_", f"""
   SELECT supporter_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES)},
     CAST({ORDINAL} AS DOUBLE) AS membership_tier_ord, COALESCE(engaged, 0) AS engaged
   FROM scored LEFT JOIN labels_ USING (supporter_id)""")
+CUTOFF, BEFORE = "TIMESTAMP '2024-01-24 00:00:00'", "TIMESTAMP '2024-01-17 00:00:00'"
+for _name, _at in (("web", "event_timestamp"), ("merch", "purchase_timestamp"),
+                   ("tix", "purchase_timestamp"), ("mkt", "event_timestamp")):
+    layer(f"p_{_name}", f"s_{_name}", f"SELECT * FROM s_{_name} WHERE {_at} < {CUTOFF}")
+    _sql = LAYERS[f"f_{_name}"][1].replace(SINCE, BEFORE).replace(f"FROM s_{_name}", f"FROM p_{_name}")
+    layer(f"pf_{_name}", f"p_{_name}", _sql)
+layer("p_base", "s_sup pf_web pf_merch pf_tix pf_mkt", LAYERS["base"][1].replace(" f_", " pf_"))
+layer("p_valued", "p_base", LAYERS["valued"][1].replace(REF, CUTOFF).replace("FROM base", "FROM p_base"))
+layer("p_labels", "s_mkt", f"""
+  SELECT supporter_id, CAST(MAX(CASE WHEN (clicked OR converted) AND event_timestamp >= {CUTOFF}
+    AND event_timestamp < {REF} THEN 1 ELSE 0 END) AS INT) AS engaged FROM s_mkt GROUP BY supporter_id""")
+layer("p_frame", "p_valued p_labels",
+      LAYERS["frame"][1].replace("FROM scored", "FROM p_valued").replace("labels_", "p_labels"))
 layer("predicted", "frame scored", f"""
   SELECT supporter_id, engaged, {PROBABILITY} AS probability
   FROM frame JOIN (SELECT supporter_id, purchase_intent_score FROM scored) USING (supporter_id)""")
@@ -865,6 +878,7 @@ twin("is_member", "s_sup", f"SELECT supporter_id, NOT ({NON_MEMBER}) AS member F
 # model
 rows("engagement_label", "labels_", ["supporter_id", "engaged"])
 rows("feature_frame", "frame", ["supporter_id", *FEATURES, "membership_tier_ord", "engaged"])
+rows("feature_frame_leak_free", "p_frame", ["supporter_id", *FEATURES, "membership_tier_ord", "engaged"])
 twin("stratified_split", "frame", f"""
 SELECT supporter_id, engaged, row_number() OVER (PARTITION BY engaged ORDER BY {h60('supporter_id', 'split', 42)},
   supporter_id) <= ceil(count(*) OVER (PARTITION BY engaged) * 0.25) AS is_test FROM frame""")
@@ -947,7 +961,7 @@ twin("opportunity_ranking", "opps",
 twin("opportunity_distribution", "served",
      "SELECT opportunity_type, count(*) AS supporters FROM served GROUP BY 1")
 twin("opportunity_members", "served", f"""
-SELECT opportunity_type, {SEARCH}, rn AS "position" FROM (SELECT *, row_number() OVER (
+SELECT opportunity_type, {SEARCH}, CAST(rn AS INT) AS "position" FROM (SELECT *, row_number() OVER (
   PARTITION BY opportunity_type ORDER BY purchase_intent_score DESC, supporter_id) AS rn FROM served)
 WHERE rn <= 50""")
 

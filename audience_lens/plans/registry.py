@@ -442,6 +442,11 @@ def feature_frame(s: Star) -> DataFrame:
     return intent_ml.feature_frame(s.scored, labels)
 
 
+@query
+def feature_frame_leak_free(s: Star) -> DataFrame:
+    return medallion.leak_free_frame(s.silver, s.cfg)
+
+
 @query
 def stratified_split(s: Star) -> DataFrame:
     return s.frame.select("supporter_id", intent_ml.LABEL, "is_test")
@@ -467,6 +472,12 @@ def train_gbt(s: Star) -> DataFrame:
     return intent_ml.evaluate(s.test_predictions("boosted_trees"), "boosted_trees")
 
 
+@query
+def train_logreg_leak_free(s: Star) -> DataFrame:
+    """Metrics of the regression on features that end before the label window starts."""
+    return intent_ml.evaluate(s.test_predictions("logistic_regression_leak_free"), "logistic_regression")
+
+
 def _rule_predictions(s: Star) -> DataFrame:
     return s.frame.select("supporter_id", intent_ml.LABEL).join(s.rule_probabilities(), "supporter_id")
 

@@ -154,20 +154,23 @@ class Star:
 
         return self._written("frame", build)
 
-    TRAINERS = {
-        "logistic_regression": intent_ml.train_logreg,
-        "boosted_trees": intent_ml.train_gbt,
-    }
+    @cached_property
+    def leak_free_frame(self) -> DataFrame:
+        return self._written("leak_free_frame", lambda: intent_ml.stratified_split(
+            medallion.leak_free_frame(self.silver, self.cfg)))
+
+    def _model_frame(self, name: str) -> DataFrame:
+        return self.leak_free_frame if name.endswith("leak_free") else self.frame
 
     def model(self, name: str) -> PipelineModel:
         """Model fitted once per input version, saved to and loaded from the work folder."""
         path = f"{self.folder('model_' + name)}/{version_tag(self.version)}"
         if path not in _fitted:
-            train = self.frame.filter("NOT is_test")
-            self.TRAINERS[name](train).write().overwrite().save(path)
+            fit = intent_ml.train_gbt if name == "boosted_trees" else intent_ml.train_logreg
+            fit(self._model_frame(name).filter("NOT is_test")).write().overwrite().save(path)
             _fitted.add(path)
         return PipelineModel.load(path)
 
     def test_predictions(self, name: str) -> DataFrame:
         return self._written(f"predictions_{name}", lambda: intent_ml.score_all(
-            self.model(name), self.frame.filter("is_test")))
+            self.model(name), self._model_frame(name).filter("is_test")))
