@@ -6,7 +6,9 @@ has MD5.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +20,26 @@ def _hex(digest: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
 
 
-def uniform(key: Column, tag: str, seed: int, draw: int = 0) -> Column:
-    """Value in [0, 1) with 32 random bits; one digest serves draws 0..3."""
-    return _hex(_digest(key, tag, seed), 1 + 8 * draw, 8) / F.lit(4294967296.0)
+def _name(tag: str, draw: int) -> str:
+    return f"_u_{tag.replace('.', '_')}_{draw}"
+
+
+def with_draws(df: DataFrame, key: str, seed: int, draws: Mapping[str, int]) -> DataFrame:
+    """Adds uniform values in [0, 1) with 32 random bits: up to four per tag, from one digest.
+
+    As columns they are computed once per row, however often an expression uses them.
+    """
+    digests = {f"_md5_{_name(tag, 0)}": _digest(F.col(key), tag, seed) for tag in draws}
+    values = {
+        _name(tag, i): _hex(F.col(f"_md5_{_name(tag, 0)}"), 1 + 8 * i, 8) / F.lit(4294967296.0)
+        for tag, n in draws.items() for i in range(n)
+    }
+    return df.withColumns(digests).withColumns(values).drop(*digests)
+
+
+def drawn(tag: str, draw: int = 0) -> Column:
+    """A value added by :func:`with_draws`."""
+    return F.col(_name(tag, draw))
 
 
 def hash60(key: Column, tag: str, seed: int) -> Column:

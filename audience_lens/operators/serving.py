@@ -44,25 +44,37 @@ def merge_scores(gold: DataFrame, scores: DataFrame, keep_null_scores: bool = Fa
     }).select(*gold.columns)
 
 
+def _profile_columns() -> list[Column]:
+    typed: dict[str, Column] = {"season_ticket_holder": F.coalesce("season_ticket_holder", F.lit(False))}
+    typed |= {c: F.col(c).cast("double") for c in _AMOUNTS}
+    typed |= {c: F.col(c).cast("bigint") for c in _COUNTS}
+    return [typed.get(c, F.col(c)).alias(c) for c in PROFILE_COLUMNS]
+
+
+def _nba_columns(cfg: EngineConfig) -> list[Column]:
+    action = F.col("recommended_next_action")
+    return [
+        action.alias("recommended_action"), F.col("recommendation_reason"),
+        F.col("purchase_intent_score").cast("bigint").alias("intent_score"),
+        rules.opportunity_type(action, cfg).alias("opportunity_type"),
+    ]
+
+
 def publish_profile(gold: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Operational profile rows; counts stay BIGINT so that no hot supporter overflows."""
-    merged = with_scores(gold, scores)
-    casts: dict[str, Column] = {"season_ticket_holder": F.coalesce("season_ticket_holder", F.lit(False))}
-    casts |= {c: F.col(c).cast("double") for c in _AMOUNTS}
-    casts |= {c: F.col(c).cast("bigint") for c in _COUNTS}
-    return merged.withColumns(casts).select(*PROFILE_COLUMNS)
+    return with_scores(gold, scores).select(*_profile_columns())
 
 
 def publish_nba(gold: DataFrame, cfg: EngineConfig, scores: DataFrame | None = None,
                 updated_at: Column | None = None) -> DataFrame:
     at = F.current_timestamp() if updated_at is None else updated_at
-    action = F.col("recommended_next_action")
     return with_scores(gold, scores).select(
-        "supporter_id", action.alias("recommended_action"), "recommendation_reason",
-        F.col("purchase_intent_score").cast("bigint").alias("intent_score"),
-        rules.opportunity_type(action, cfg).alias("opportunity_type"),
-        at.alias("updated_at"),
-    )
+        "supporter_id", *_nba_columns(cfg), at.alias("updated_at"))
+
+
+def serve(gold: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Both operational tables as one view straight from Gold, without joining them again."""
+    return gold.select(*_profile_columns(), *_nba_columns(cfg))
 
 
 def load_serving(profile: DataFrame, nba: DataFrame) -> DataFrame:

@@ -32,21 +32,15 @@ _fitted: set[str] = set()
 class Star:
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: EngineConfig = adapters.STAR_CONFIG):
         self.spark, self.dir, self.cfg = spark, sf_dir.rstrip("/"), cfg
+        self.table = adapters.parquet_tables(spark, self.dir)
 
     # ---- lazy layers ----
-    def table(self, name: str) -> DataFrame:
-        return adapters.read(self.spark, self.dir, name)
-
     def raw(self, source: str) -> DataFrame:
-        return adapters.RAW[source](self.spark, self.dir)
-
-    @cached_property
-    def raws(self) -> dict[str, DataFrame]:
-        return {source: self.raw(source) for source in adapters.RAW}
+        return adapters.RAW[source](self.table)
 
     def cleaned(self) -> medallion.Silver:
         """Silver computed in place, without a written table."""
-        return medallion.build_silver(self.raws)
+        return medallion.build_silver({source: self.raw(source) for source in adapters.RAW})
 
     # ---- written layers ----
     @cached_property
@@ -130,7 +124,8 @@ class Star:
 
     @cached_property
     def served(self) -> DataFrame:
-        return self._written("served", lambda: serving.load_serving(self.profile, self.nba))
+        """Profile and next best action in one pass over Gold; equals their join."""
+        return self._written("served", lambda: serving.serve(self.gold, self.cfg))
 
     @cached_property
     def activity(self) -> DataFrame:
@@ -145,19 +140,26 @@ class Star:
         return briefs.brief_facts(self.served)
 
     # ---- model ----
+    @cached_property
+    def features(self) -> DataFrame:
+        """Feature frame with label."""
+        return self._written("features", lambda: intent_ml.feature_frame(
+            self.scored, intent_ml.engagement_label(self.silver.marketing_events, self.cfg)))
+
     @cached_property
     def frame(self) -> DataFrame:
         """Feature frame with label and split flag."""
-        def build() -> DataFrame:
-            labels = intent_ml.engagement_label(self.silver.marketing_events, self.cfg)
-            return intent_ml.stratified_split(intent_ml.feature_frame(self.scored, labels))
+        return self._written("frame", lambda: intent_ml.stratified_split(self.features))
 
-        return self._written("frame", build)
+    @cached_property
+    def leak_free_features(self) -> DataFrame:
+        return self._written("leak_free_features", lambda: medallion.leak_free_frame(
+            self.silver, self.cfg))
 
     @cached_property
     def leak_free_frame(self) -> DataFrame:
         return self._written("leak_free_frame", lambda: intent_ml.stratified_split(
-            medallion.leak_free_frame(self.silver, self.cfg)))
+            self.leak_free_features))
 
     def _model_frame(self, name: str) -> DataFrame:
         return self.leak_free_frame if name.endswith("leak_free") else self.frame

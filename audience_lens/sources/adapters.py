@@ -8,7 +8,8 @@ amounts, replays) are added by key arithmetic, so that every quality rule has ro
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,12 @@ PRIORITY_TICKET = {"1-URGENT": "Hospitality", "2-HIGH": "Club Level",
                    "5-LOW": "General Admission"}
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+Tables = Callable[[str], DataFrame]
+
+
+def parquet_tables(spark: SparkSession, folder: str) -> Tables:
+    """Table name -> frame; each file is opened once."""
+    return lru_cache(maxsize=None)(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def _mod(key: str, n: int) -> Column:
@@ -62,18 +67,19 @@ def _map(values: dict[str, str], key: Column) -> Column:
 
 def _copies(df: DataFrame, **extra: Column) -> DataFrame:
     """Rows plus one extra copy for each flag that holds, tagged in ``_copy``; one scan."""
-    tags = F.array(F.lit("row"), *[F.when(flag, F.lit(name)) for name, flag in extra.items()])
-    return df.withColumn("_copy", F.explode(F.array_compact(tags)))
+    nothing = F.array().cast("array<string>")
+    tags = [F.when(flag, F.array(F.lit(name))).otherwise(nothing) for name, flag in extra.items()]
+    return df.withColumn("_copy", F.explode(F.concat(F.array(F.lit("row")), *tags)))
 
 
 def _supporter(key: str) -> Column:
     return F.concat(F.lit("S"), F.col(key).cast("string"))
 
 
-def raw_supporters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+def raw_supporters(tables: Tables) -> DataFrame:
+    nation, region = tables("nation"), tables("region")
     people = (
-        read(spark, sf_dir, "customer")
+        tables("customer")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     )
@@ -117,8 +123,8 @@ def _event_supporter(empty: Column, null: Column) -> Column:
     return F.when(empty, "").when(~null, _supporter("user_id"))
 
 
-def raw_web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _copies(read(spark, sf_dir, "events"), replay=_mod("event_id", 101) == 0)
+def raw_web_events(tables: Tables) -> DataFrame:
+    events = _copies(tables("events"), replay=_mod("event_id", 101) == 0)
     k, kind = F.col("_k"), F.col("event_type")
     event = (
         F.when(kind == "view", F.when(k % 5 < 2, "viewed_match_ticket")
@@ -149,8 +155,8 @@ def raw_web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_marketing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _copies(read(spark, sf_dir, "events"), replay=_mod("event_id", 103) == 0)
+def raw_marketing_events(tables: Tables) -> DataFrame:
+    events = _copies(tables("events"), replay=_mod("event_id", 103) == 0)
 
     def flag(*kinds: str) -> Column:
         return F.when(F.col("event_type").isin(*kinds), "True").otherwise("False")
@@ -170,12 +176,13 @@ def _shifted(ts: str) -> Column:
     return F.col(ts) + F.expr(f"INTERVAL {ORDER_SHIFT_DAYS} DAYS")
 
 
-def raw_ecommerce_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_ecommerce_orders(tables: Tables) -> DataFrame:
     """Line items are narrowed before the join; order ids repeat for replayed lines."""
-    exact = {c: F.col(c).cast("decimal(18,2)") for c in ("l_extendedprice", "l_discount")}
-    revenue = (exact["l_extendedprice"] * (1 - exact["l_discount"])).cast("double")
+    # Precisions whose product still fits 18 digits, which Spark computes on plain longs.
+    price, discount = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
+    revenue = (price * (1 - discount)).cast("double")
     part = F.col("l_partkey")
-    lines = read(spark, sf_dir, "lineitem").select(
+    lines = tables("lineitem").select(
         "l_orderkey",
         F.when(_mod("l_orderkey", 1511) == 21, "").otherwise(
             F.concat(F.col("l_orderkey").cast("string"), F.lit("-"),
@@ -187,7 +194,7 @@ def raw_ecommerce_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(part % 997 != 13, revenue).alias("revenue"),
         _shifted("l_shipdate").alias("purchase_timestamp"),
     )
-    owners = read(spark, sf_dir, "orders").select(
+    owners = tables("orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.when(_mod("o_orderkey", 701) == 9, "").otherwise(_supporter("o_custkey"))
         .alias("supporter_id"),
@@ -197,8 +204,8 @@ def raw_ecommerce_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "purchase_timestamp")
 
 
-def raw_ticket_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _copies(read(spark, sf_dir, "orders"), replay=_mod("o_orderkey", 97) == 0)
+def raw_ticket_orders(tables: Tables) -> DataFrame:
+    orders = _copies(tables("orders"), replay=_mod("o_orderkey", 97) == 0)
     slot = F.col("o_orderkey") % 12
     price = F.col("o_totalprice")
     return orders.select(

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from audience_lens.config import EVENT_PAGES, TIERS, EngineConfig
-from audience_lens.functions.hashing import hash60, pick, pick_index, pick_weighted, uniform
+from audience_lens.functions.hashing import (
+    drawn, hash60, pick, pick_index, pick_weighted, with_draws,
+)
 from audience_lens.sources.adapters import CAMPAIGNS, CATEGORIES
 
 # Personas with their shares.
@@ -84,8 +86,9 @@ def supporter_id(n: Column) -> Column:
     return F.concat(F.lit("S"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), "0"))
 
 
-def persona(n: Column, seed: int) -> Column:
-    return pick_weighted(uniform(n, "persona", seed), PERSONAS)
+def _with_persona(df: DataFrame, key: str, seed: int) -> DataFrame:
+    return with_draws(df, key, seed, {"persona": 1}).withColumn(
+        "_persona", pick_weighted(drawn("persona"), PERSONAS))
 
 
 def _by_persona(values: dict[str, Column], who: Column, default: Column) -> Column:
@@ -105,41 +108,38 @@ def _clock(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
-def _channel(rows: DataFrame, tag: str, n_supporters: int, seed: int) -> DataFrame:
-    """Row number plus the supporter number drawn for it and that supporter's persona."""
-    drawn = rows.select("n").withColumn(
-        "_who", pick_index(uniform(F.col("n"), f"{tag}.who", seed), F.lit(n_supporters)) + 1)
-    return drawn.withColumn("_persona", persona(F.col("_who"), seed))
-
-
-def _draw(tag: str, seed: int, draw: int = 0) -> Column:
-    return uniform(F.col("n"), tag, seed, draw)
+def _channel(rows: DataFrame, tag: str, n_supporters: int, seed: int,
+             draws: dict[str, int]) -> DataFrame:
+    """Row number, its draws, the supporter number drawn for it and that supporter's persona."""
+    frame = with_draws(rows.select("n"), "n", seed, draws | {f"{tag}.who": 1}).withColumn(
+        "_who", pick_index(drawn(f"{tag}.who"), F.lit(n_supporters)) + 1)
+    return _with_persona(frame, "_who", seed)
 
 
 def gen_supporters(rows: DataFrame, cfg: EngineConfig, seed: int = 7,
                    with_persona: bool = False) -> DataFrame:
-    n = F.col("n")
-    people = rows.select("n").withColumn("_persona", persona(n, seed)).withColumn(
-        "country", pick_weighted(_draw("country", seed), COUNTRIES))
-    u_tier = _draw("tier", seed)
+    draws = {"country": 1, "city": 1, "tier": 1, "name": 4, "misc": 3}
+    people = _with_persona(with_draws(rows.select("n"), "n", seed, draws), "n", seed).withColumn(
+        "country", pick_weighted(drawn("country"), COUNTRIES))
+    u_tier = drawn("tier")
     tier = _by_persona({p: pick(u_tier, t) for p, t in PERSONA_TIERS.items()}, F.col("_persona"),
                        pick_weighted(u_tier, TIER_WEIGHTS))
-    city = _by_persona({c: pick(_draw("city", seed), v) for c, v in CITIES.items()}, F.col("country"),
+    city = _by_persona({c: pick(drawn("city"), v) for c, v in CITIES.items()}, F.col("country"),
                        F.lit("London"))
     first = dt.date(2016, 1, 1)
     days = (cfg.ref_ts.date() - dt.timedelta(days=30) - first).days + 1
     out = people.withColumn("membership_tier", tier).select(
-        supporter_id(n).alias("supporter_id"),
-        pick(_draw("name", seed, 0), FIRST_NAMES).alias("first_name"),
-        pick_weighted(_draw("name", seed, 1), AGE_BANDS).alias("age_band"),
+        supporter_id(F.col("n")).alias("supporter_id"),
+        pick(drawn("name"), FIRST_NAMES).alias("first_name"),
+        pick_weighted(drawn("name", 1), AGE_BANDS).alias("age_band"),
         "country", city.alias("city"), "membership_tier",
-        F.concat(F.lit("Player "), (pick_index(_draw("name", seed, 2), 11) + 1).cast("string"))
+        F.concat(F.lit("Player "), (pick_index(drawn("name", 2), 11) + 1).cast("string"))
         .alias("favourite_player"),
-        pick(_draw("name", seed, 3), list(CATEGORIES)).alias("favourite_product_category"),
-        F.date_add(F.lit(first), pick_index(_draw("misc", seed, 0), days)).cast("string")
+        pick(drawn("name", 3), list(CATEGORIES)).alias("favourite_product_category"),
+        F.date_add(F.lit(first), pick_index(drawn("misc"), days)).cast("string")
         .alias("registration_date"),
-        F.when(_draw("misc", seed, 1) < 0.82, "True").otherwise("False").alias("email_opt_in"),
-        F.when(F.col("membership_tier").isin("Gold", "Red Member") & (_draw("misc", seed, 2) < 0.6),
+        F.when(drawn("misc", 1) < 0.82, "True").otherwise("False").alias("email_opt_in"),
+        F.when(F.col("membership_tier").isin("Gold", "Red Member") & (drawn("misc", 2) < 0.6),
                "True").otherwise("False").alias("season_ticket_holder"),
         *([F.col("_persona").alias("persona")] if with_persona else []),
     )
@@ -150,21 +150,21 @@ def gen_web_events(rows: DataFrame, n_supporters: int, cfg: EngineConfig, seed:
     now = cfg.ref_ts
     start, recent = now - dt.timedelta(days=HISTORY_DAYS), now - dt.timedelta(days=30)
     events = list(EVENT_PAGES)
-    u = _draw("web", seed, 0)
+    u = drawn("web")
     event = _by_persona(
         {p: pick_weighted(u, list(zip(events, w))) for p, w in EVENT_WEIGHTS.items()},
         F.col("_persona"), pick(u, events))
-    u_ts = _draw("web", seed, 1)
+    u_ts = drawn("web", 1)
     ts = (F.when(F.col("_persona") == "lapsed",
                  _moment(u_ts, start, now - dt.timedelta(days=LAPSED_WEB_DAYS)))
-          .when(_draw("web", seed, 2) < 0.6, _moment(u_ts, recent, now))
+          .when(drawn("web", 2) < 0.6, _moment(u_ts, recent, now))
           .otherwise(_moment(u_ts, start, now)))
-    u_code = _draw("web", seed, 3)
+    u_code = drawn("web", 3)
     pages = F.create_map(*[x for e, (p, name) in EVENT_PAGES.items()
                            for x in (F.lit(e), F.struct(F.lit(p).alias("p"), F.lit(name).alias("t")))])
     page = F.element_at(pages, F.col("event_type"))
     return (
-        _channel(rows, "web", n_supporters, seed)
+        _channel(rows, "web", n_supporters, seed, {"web": 4, "session": 1})
         .withColumn("event_type", event)
         .select(
             supporter_id(F.col("_who")).alias("supporter_id"),
@@ -176,7 +176,7 @@ def gen_web_events(rows: DataFrame, n_supporters: int, cfg: EngineConfig, seed:
             F.when(F.col("event_type") == "viewed_match_ticket", F.concat(F.lit("M"), F.lpad(
                 (pick_index(u_code, len(OPPONENTS)) + 1).cast("string"), 3, "0")))
             .otherwise("").alias("match_id"),
-            F.concat(F.lit("SESS"), (pick_index(_draw("session", seed), 900000) + 100000).cast("string"))
+            F.concat(F.lit("SESS"), (pick_index(drawn("session"), 900000) + 100000).cast("string"))
             .alias("session_id"),
             "event_type",
         ))
@@ -185,26 +185,27 @@ def gen_web_events(rows: DataFrame, n_supporters: int, cfg: EngineConfig, seed:
 def _redrawn(frame: DataFrame, tag: str, n_supporters: int, seed: int, personas: list[str],
              chance: float) -> DataFrame:
     """Rows of the given personas draw another supporter with this chance."""
-    again = F.col("_persona").isin(*personas) & (_draw(f"{tag}.again", seed, 0) < chance)
-    other = pick_index(_draw(f"{tag}.again", seed, 1), F.lit(n_supporters)) + 1
-    return (frame.withColumn("_who", F.when(again, other).otherwise(F.col("_who")))
-            .withColumn("_persona", persona(F.col("_who"), seed)))
+    again = F.col("_persona").isin(*personas) & (drawn(f"{tag}.again") < chance)
+    other = pick_index(drawn(f"{tag}.again", 1), F.lit(n_supporters)) + 1
+    return _with_persona(
+        frame.withColumn("_who", F.when(again, other).otherwise(F.col("_who"))), "_who", seed)
 
 
 def gen_ecommerce_orders(rows: DataFrame, n_supporters: int, cfg: EngineConfig,
                          seed: int = 7) -> DataFrame:
     now = cfg.ref_ts
     start, recent = now - dt.timedelta(days=HISTORY_DAYS), now - dt.timedelta(days=30)
-    frame = _redrawn(_channel(rows, "merch", n_supporters, seed), "merch", n_supporters, seed,
+    frame = _redrawn(_channel(rows, "merch", n_supporters, seed,
+                              {"merch": 4, "merch.ts": 1, "merch.again": 2}), "merch", n_supporters, seed,
                      ["ticket_browser", "lapsed"], 0.7)
     prices = F.create_map(*[F.lit(x) for kv in BASE_PRICES.items() for x in kv])
-    u_ts = _draw("merch", seed, 2)
+    u_ts = drawn("merch", 2)
     digits = F.col("n").cast("string")
-    cents = F.floor((F.lit(0.9) + _draw("merch", seed, 1) * 0.35) * F.element_at(prices, F.col("category"))
+    cents = F.floor((F.lit(0.9) + drawn("merch", 1) * 0.35) * F.element_at(prices, F.col("category"))
                     * F.col("quantity") * 100 + 0.5).cast("bigint")
     return (
-        frame.withColumn("category", pick(_draw("merch", seed, 0), list(BASE_PRICES)))
-        .withColumn("quantity", pick_weighted(_draw("merch", seed, 3), QUANTITIES))
+        frame.withColumn("category", pick(drawn("merch"), list(BASE_PRICES)))
+        .withColumn("quantity", pick_weighted(drawn("merch", 3), QUANTITIES))
         .select(
             supporter_id(F.col("_who")).alias("supporter_id"),
             F.concat(F.lit("O"), F.lpad(digits, F.greatest(F.length(digits), F.lit(7)), "0"))
@@ -212,33 +213,34 @@ def gen_ecommerce_orders(rows: DataFrame, n_supporters: int, cfg: EngineConfig,
             F.concat(F.col("category"), F.lit(" 2024/25")).alias("product"),
             "category", F.col("quantity").cast("string").alias("quantity"),
             (cents.cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string").alias("revenue"),
-            _clock(F.when(_draw("merch.ts", seed) < 0.55, _moment(u_ts, start, now))
+            _clock(F.when(drawn("merch.ts") < 0.55, _moment(u_ts, start, now))
                    .otherwise(_moment(u_ts, recent, now))).alias("purchase_timestamp"),
         ))
 
 
 def gen_ticket_orders(rows: DataFrame, n_supporters: int, cfg: EngineConfig, seed: int = 7) -> DataFrame:
     now = cfg.ref_ts
-    frame = _redrawn(_channel(rows, "ticket", n_supporters, seed), "ticket", n_supporters, seed,
+    frame = _redrawn(_channel(rows, "ticket", n_supporters, seed,
+                              {"ticket": 4, "ticket.seen": 1, "ticket.again": 2}), "ticket", n_supporters, seed,
                      ["ticket_browser"], 0.85)
     base = F.create_map(*[F.lit(x) for t, _, p in TICKETS for x in (t, p)])
-    slot = pick_index(_draw("ticket", seed, 0), len(OPPONENTS)) + 1
+    slot = pick_index(drawn("ticket"), len(OPPONENTS)) + 1
     matches = F.array(*[F.struct(F.lit(f"{cfg.brand} vs {o}").alias("m"), F.lit(c).alias("c"))
                         for o, c in OPPONENTS])
     game = F.element_at(matches, slot)
-    cents = F.floor((F.lit(0.9) + _draw("ticket", seed, 2) * 0.4)
+    cents = F.floor((F.lit(0.9) + drawn("ticket", 2) * 0.4)
                     * F.element_at(base, F.col("ticket_type")) * 100 + 0.5).cast("bigint")
     rate = F.when(F.col("_persona").isin("loyal_attendee", "big_spender"), 0.9).otherwise(0.75)
     return (
-        frame.withColumn("ticket_type", pick_weighted(_draw("ticket", seed, 1),
+        frame.withColumn("ticket_type", pick_weighted(drawn("ticket", 1),
                                                       [(t, w) for t, w, _ in TICKETS]))
         .select(
             supporter_id(F.col("_who")).alias("supporter_id"),
             game["m"].alias("match"), game["c"].alias("competition"), "ticket_type",
             (cents.cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string").alias("ticket_price"),
-            _clock(_moment(_draw("ticket", seed, 3), now - dt.timedelta(days=HISTORY_DAYS), now))
+            _clock(_moment(drawn("ticket", 3), now - dt.timedelta(days=HISTORY_DAYS), now))
             .alias("purchase_timestamp"),
-            F.when(_draw("ticket.seen", seed) < rate, "True").otherwise("False").alias("attended"),
+            F.when(drawn("ticket.seen") < rate, "True").otherwise("False").alias("attended"),
         ))
 
 
@@ -247,23 +249,23 @@ def gen_marketing_events(rows: DataFrame, n_supporters: int, cfg: EngineConfig,
     now = cfg.ref_ts
     start, recent = now - dt.timedelta(days=HISTORY_DAYS), now - dt.timedelta(days=30)
     rate = _by_persona({p: F.lit(r) for p, r in OPEN_RATES.items()}, F.col("_persona"), F.lit(0.0))
-    u_ts = _draw("mail", seed, 1)
+    u_ts = drawn("mail", 1)
     ts = (F.when(F.col("_persona") == "lapsed",
                  _moment(u_ts, start, now - dt.timedelta(days=LAPSED_MAIL_DAYS)))
-          .when(_draw("mail", seed, 2) < 0.5, _moment(u_ts, start, now))
+          .when(drawn("mail", 2) < 0.5, _moment(u_ts, start, now))
           .otherwise(_moment(u_ts, recent, now)))
 
     def flag(c: Column) -> Column:
         return F.when(c, "True").otherwise("False")
 
     return (
-        _channel(rows, "mail", n_supporters, seed)
-        .withColumn("_open", _draw("mail", seed, 3) < rate)
-        .withColumn("_click", F.col("_open") & (_draw("mail.funnel", seed, 0) < CLICK_RATE))
-        .withColumn("_convert", F.col("_click") & (_draw("mail.funnel", seed, 1) < CONVERT_RATE))
+        _channel(rows, "mail", n_supporters, seed, {"mail": 4, "mail.funnel": 2})
+        .withColumn("_open", drawn("mail", 3) < rate)
+        .withColumn("_click", F.col("_open") & (drawn("mail.funnel") < CLICK_RATE))
+        .withColumn("_convert", F.col("_click") & (drawn("mail.funnel", 1) < CONVERT_RATE))
         .select(
             supporter_id(F.col("_who")).alias("supporter_id"),
-            pick(_draw("mail", seed, 0), list(CAMPAIGNS)).alias("campaign"),
+            pick(drawn("mail"), list(CAMPAIGNS)).alias("campaign"),
             F.lit("True").alias("sent"), flag(F.col("_open")).alias("opened"),
             flag(F.col("_click")).alias("clicked"), flag(F.col("_convert")).alias("converted"),
             _clock(ts).alias("timestamp"),

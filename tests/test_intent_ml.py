@@ -8,7 +8,7 @@ from frames import MAIL, raw
 from pyspark.sql import functions as F
 
 from audience_lens.config import EngineConfig
-from audience_lens.functions.hashing import uniform
+from audience_lens.functions.hashing import drawn, with_draws
 from audience_lens.operators import intent_ml as ml
 from audience_lens.operators import silver
 
@@ -75,8 +75,9 @@ def test_label_window(spark):
 @pytest.fixture(scope="module")
 def frame(spark):
     """Noisy frame: the label depends on two features and chance."""
-    u = uniform(F.col("id"), "y", 1)
-    df = spark.range(600).withColumns({c: uniform(F.col("id"), c, 1) * 10 for c in ml.INPUTS})
+    u = drawn("y")
+    df = with_draws(spark.range(600), "id", 1, {c: 1 for c in ("y", *ml.INPUTS)})
+    df = df.withColumns({c: drawn(c) * 10 for c in ml.INPUTS})
     signal = F.col("product_views_30d") + F.col("ticket_views_30d") - 10
     return df.select(F.concat(F.lit("S"), "id").alias("supporter_id"), *ml.INPUTS,
                      (u < 1 / (1 + F.exp(-signal / 2))).cast("int").alias(ml.LABEL)).cache()
