@@ -1062,9 +1062,17 @@ rows("inject_dirty", "g_dirty", ["supporter_id", "country", "membership_tier", "
 twin("inject_duplicates", "g_merch", f"""
 SELECT order_id, CASE WHEN row_number() OVER (ORDER BY {h60('order_id', 'replay')}, order_id) <= 30 THEN 2 ELSE 1 END
   ::BIGINT AS n FROM g_merch""")
-twin("inject_malformed", "g_dirty", """
-SELECT CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM g_dirty
-UNION ALL SELECT 'missing_supporter_id', 2""")
+twin("inject_malformed", "", """
+SELECT 'supporters' AS source, 'accepted' AS reason, count(*) AS n FROM customer
+UNION ALL SELECT 'web_events', 'accepted', count(*) + 1 FROM events
+UNION ALL SELECT 'ecommerce_orders', 'accepted', count(*) FROM orders
+UNION ALL SELECT 'ticket_orders', 'accepted', count(*) FROM orders
+UNION ALL SELECT 'marketing_events', 'accepted', count(*) FROM events
+UNION ALL FROM (VALUES ('supporters', 'missing_supporter_id', 2), ('web_events', 'missing_supporter_id', 2),
+  ('web_events', 'invalid_event_timestamp', 2), ('ecommerce_orders', 'missing_order_id', 1),
+  ('ecommerce_orders', 'missing_supporter_id', 1), ('ecommerce_orders', 'negative_revenue', 2),
+  ('ticket_orders', 'missing_supporter_id', 1), ('ticket_orders', 'negative_price', 1),
+  ('marketing_events', 'missing_supporter_id', 1), ('marketing_events', 'invalid_timestamp', 1))""")
 twin("profile_volumes", " ".join(s for _, s in SOURCES.values()), " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS n FROM {s}" for n, (_, s) in SOURCES.items()))
 twin("membership_split", "s_sup", f"""

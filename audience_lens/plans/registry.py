@@ -665,9 +665,22 @@ def inject_duplicates(s: Star) -> DataFrame:
 
 @query
 def inject_malformed(s: Star) -> DataFrame:
-    """Rejected rows per reason after the fixed defects are appended to clean people."""
-    bad = generator.inject_malformed(_dirty_people(s), "supporters")
-    return grouped(bad, ex.reject_reason(ex.quarantine_reasons("supporters")).alias("reason"))
+    """Rows per source and reject reason after the fixed defects are appended to clean rows."""
+    people = _people(s)
+    clean = {
+        "supporters": _dirty_people(s),
+        "web_events": generator.gen_web_events(_rows(s, "events", "event_id"), people, s.cfg, SEED),
+        "ecommerce_orders": generator.gen_ecommerce_orders(
+            _rows(s, "orders", "o_orderkey"), people, s.cfg, SEED),
+        "ticket_orders": generator.gen_ticket_orders(_rows(s, "orders", "o_orderkey"), people, s.cfg, SEED),
+        "marketing_events": generator.gen_marketing_events(
+            _rows(s, "events", "event_id"), people, s.cfg, SEED),
+    }
+    return reduce(DataFrame.unionByName, [
+        grouped(generator.inject_malformed(df, source), F.lit(source).alias("source"),
+                F.coalesce(ex.reject_reason(ex.quarantine_reasons(source)), F.lit("accepted"))
+                .alias("reason"))
+        for source, df in clean.items()])
 
 
 @query
