@@ -41,6 +41,7 @@ def _says(*parts: Column | str) -> Column:
                                            for p in parts])
 
 
+# Order of the rules, action labels and reason sentences.
 def baseline_rules(cfg: EngineConfig) -> list[Rule]:
     t = cfg.baseline
     col = F.col
@@ -77,6 +78,7 @@ def baseline_rules(cfg: EngineConfig) -> list[Rule]:
     ]
 
 
+# Order of the rules and action labels.
 def overlay_rules(cfg: EngineConfig) -> list[Rule]:
     t = cfg.overlay
     col = F.col

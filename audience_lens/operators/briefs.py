@@ -48,6 +48,7 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("None"))
 
 
+# Wording of the objective, fallback reason and message.
 def _template(cfg: EngineConfig) -> dict[str, Column]:
     action = F.coalesce("recommended_action", F.lit(C.STADIUM_TOUR))
     channel, kpi, supporting = rules.action_meta(action, cfg)
@@ -113,6 +114,7 @@ def parse_brief(facts: DataFrame, reply: str, cfg: EngineConfig, author: str = "
     )
 
 
+# Wording of the prompt.
 def reason_prompt(scored: DataFrame, cfg: EngineConfig, action: str = "recommended_next_action") -> DataFrame:
     """Prompt that asks for a one-sentence reason, built from features only."""
     def n(c: str) -> Column:
