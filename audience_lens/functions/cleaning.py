@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,16 @@ def to_number_lenient(c: Column | str, to: str) -> Column:
     return _col(c).try_cast(to)
 
 
+def moment(at: dt.datetime) -> Column:
+    """Literal wall-clock timestamp; no zone of client or session is involved."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def clock(ts: Column | str) -> Column:
+    """Wall-clock timestamp as text, to the second."""
+    return F.substring(_col(ts).cast("string"), 1, 19)
+
+
 def lower_trim(c: Column | str) -> Column:
     return F.lower(F.trim(_col(c)))
 

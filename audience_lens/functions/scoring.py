@@ -6,19 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from audience_lens.config import INTENT_BANDS, NEVER, NEVER_DAYS, EngineConfig
+from audience_lens.functions.cleaning import moment
 
 
 def never() -> Column:
-    return F.lit(NEVER).cast("timestamp_ntz")
+    return moment(NEVER)
 
 
 def ref_ts(cfg: EngineConfig) -> Column:
-    return F.lit(cfg.ref_ts).cast("timestamp_ntz")
+    return moment(cfg.ref_ts)
 
 
 def in_window(ts: str, cfg: EngineConfig) -> Column:
     """Inside the recent window; only a lower bound, as future rows count too."""
-    return F.col(ts) >= F.lit(cfg.window_start).cast("timestamp_ntz")
+    return F.col(ts) >= moment(cfg.window_start)
 
 
 def latest(*ts: str) -> Column:

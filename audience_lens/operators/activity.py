@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from audience_lens.functions.cleaning import clock
+
 
 def _entry(df: DataFrame, channel: str, kind: Column, detail: str, at: str) -> DataFrame:
     return df.select(
@@ -41,7 +43,7 @@ def export_activity(activity: DataFrame, n: int = 10) -> DataFrame:
     """One row per supporter with the nested list of its latest activities, newest first."""
     item = F.struct(
         "position", "channel", "activity_type", "activity_detail",
-        F.date_format("activity_timestamp", "yyyy-MM-dd HH:mm:ss").alias("activity_timestamp"))
+        clock("activity_timestamp").alias("activity_timestamp"))
     listed = F.array_sort(F.collect_list(item))
     return (latest_activities(activity, n).groupBy("supporter_id").agg(listed.alias("_items"))
             .select("supporter_id", F.transform("_items", lambda x: x.dropFields("position"))

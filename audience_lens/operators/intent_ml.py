@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from audience_lens.config import EngineConfig
 from audience_lens.functions import rules, scoring
+from audience_lens.functions.cleaning import moment
 from audience_lens.functions.hashing import hash60
 
 FEATURES = (
@@ -47,8 +48,7 @@ def engagement_label(marketing: DataFrame, cfg: EngineConfig,
         inside = scoring.in_window("event_timestamp", cfg)
     else:
         start, horizon = window
-        inside = ((at >= F.lit(start).cast("timestamp_ntz"))
-                  & (at < F.lit(start + horizon).cast("timestamp_ntz")))
+        inside = (at >= moment(start)) & (at < moment(start + horizon))
     hit = F.coalesce((F.col("clicked") | F.col("converted")) & inside, F.lit(False))
     return marketing.groupBy("supporter_id").agg(F.max(hit.cast("int")).alias(LABEL))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from audience_lens.config import EngineConfig
 from audience_lens.functions import rules
+from audience_lens.functions.cleaning import clock
 from audience_lens.schemas import ACTIVATION_SCHEMA, PROFILE_COLUMNS
 
 _AMOUNTS = ("total_ticket_spend", "total_merchandise_spend", "total_customer_value")
@@ -103,7 +104,7 @@ def activations(approvals: DataFrame, approved_at: Column | None = None) -> Data
     at = (F.current_timestamp() if approved_at is None else approved_at).cast("timestamp_ntz")
     parts = ["supporter_id", "next_best_action", "campaign_objective", "approved_by_user"]
     stamped = approvals.withColumn("approved_at", at)
-    mark = F.md5(F.concat_ws("|", *parts, F.date_format("approved_at", "yyyy-MM-dd HH:mm:ss")))
+    mark = F.md5(F.concat_ws("|", *parts, clock("approved_at")))
     return stamped.select(
         F.concat(F.lit("act-"), mark).alias("activation_id"),
         "supporter_id",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from audience_lens.config import EngineConfig
+from audience_lens.functions.cleaning import moment
 from audience_lens.operators import features as ft
 from audience_lens.operators import intent_ml
 from audience_lens.operators.activity import activity_feed
@@ -32,7 +33,7 @@ def build_silver(raw: Mapping[str, DataFrame]) -> Silver:
 def as_of(silver: Silver, cutoff: dt.datetime) -> Silver:
     """The same layer as it was known before ``cutoff``; the dimension is kept."""
     def before(df: DataFrame, at: str) -> DataFrame:
-        return df.filter(F.col(at) < F.lit(cutoff).cast("timestamp_ntz"))
+        return df.filter(F.col(at) < moment(cutoff))
 
     return replace(
         silver,

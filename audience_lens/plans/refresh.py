@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from audience_lens.config import EngineConfig
@@ -12,6 +14,7 @@ from audience_lens.operators.silver import CLEANERS
 from audience_lens.plans import medallion
 from audience_lens.schemas import SCORES_SCHEMA, SOURCES
 from audience_lens.sources.tables import read_table, write_table
+from audience_lens.sources.workspace import in_parallel
 from audience_lens.streaming.ingest import ingest_all
 
 
@@ -23,10 +26,13 @@ def refresh(spark: SparkSession, landing: str, root: str, cfg: EngineConfig,
     executor costs at most one layer.
     """
     ingest_all(spark, landing, f"{root}/state", f"{root}/bronze")
-    for source in SOURCES:
+
+    def clean(source: str) -> None:
         bronze = read_table(spark, f"{root}/bronze/{source}")
         write_table(CLEANERS[source](bronze), f"{root}/silver/{source}")
         write_table(ex.quarantine(bronze, ex.quarantine_reasons(source)), f"{root}/quarantine/{source}")
+
+    in_parallel(spark, [partial(clean, source) for source in SOURCES])
     silver = silver_tables(spark, root)
     overlay = spark.createDataFrame([], SCORES_SCHEMA) if scores is None else scores
     write_table(medallion.build_scored(silver, cfg), f"{root}/gold/scored")

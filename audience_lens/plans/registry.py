@@ -26,8 +26,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-SECOND = "yyyy-MM-dd HH:mm:ss"
-MICRO = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -35,9 +33,10 @@ def portable(df: DataFrame) -> DataFrame:
     def plain(field: T.StructField) -> Column:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, MICRO)
+            c = c.cast("string")
+        elif isinstance(field.dataType, T.TimestampNTZType):
+            text = c.cast("string")
+            c = F.rpad(F.when(text.contains("."), text).otherwise(F.concat(text, F.lit("."))), 26, "0")
         elif isinstance(field.dataType, T.DecimalType):
             c = c.cast("double")
         return c.alias(field.name)
@@ -92,7 +91,7 @@ def rescue_malformed(s: Star) -> DataFrame:
     def build() -> DataFrame:
         kind = F.col("event_type")
         line = F.concat_ws(",", F.concat(F.lit("S"), F.col("user_id").cast("string")), kind, F.lit("True"),
-                           F.lit("True"), F.lit("False"), F.lit("False"), F.date_format("ts", SECOND))
+                           F.lit("True"), F.lit("False"), F.lit("False"), cl.clock("ts"))
         surplus = F.when(F.col("event_id") % 7 == 3, F.concat(F.lit(",extra"), F.col("event_id").cast("string")))
         return s.table("events").select(F.concat(line, F.coalesce(surplus, F.lit(""))).alias("value"))
 
@@ -235,7 +234,7 @@ def to_number_lenient(s: Star) -> DataFrame:
     key = F.col("l_partkey")
     quantity = F.when(key % 13 == 0, "n/a").otherwise(F.col("l_quantity").cast("int").cast("string"))
     price = F.when(key % 17 == 0, "").otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
-    day = F.when(key % 19 == 0, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    day = F.when(key % 19 == 0, "soon").otherwise(F.col("l_shipdate").cast("date").cast("string"))
     return s.table("lineitem").select(
         cl.to_number_lenient(quantity, "int").alias("q"), cl.to_number_lenient(price, "double").alias("p"),
         cl.to_date_lenient(day).alias("d"),

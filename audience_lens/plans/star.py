@@ -8,7 +8,7 @@ queries read the written tables.
 from __future__ import annotations
 
 import uuid
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,7 @@ from audience_lens.operators.silver import CLEANERS
 from audience_lens.plans import medallion
 from audience_lens.sources import adapters
 from audience_lens.sources.workspace import (
-    input_version, materialize, materialize_path, version_tag, workspace,
+    in_parallel, input_version, materialize, materialize_path, version_tag, workspace,
 )
 
 
@@ -68,9 +68,14 @@ class Star:
 
     @cached_property
     def silver(self) -> medallion.Silver:
-        return medallion.Silver(**{
-            source: self._written(f"silver_{source}", lambda s=source: CLEANERS[s](self.raw(s)))
-            for source in adapters.RAW})
+        version = self.version
+
+        def layer(source: str) -> DataFrame:
+            return materialize(self.spark, f"silver_{source}", version,
+                               lambda: CLEANERS[source](self.raw(source)))
+
+        tables = in_parallel(self.spark, [partial(layer, source) for source in adapters.RAW])
+        return medallion.Silver(**dict(zip(adapters.RAW, tables)))
 
     def landed(self, source: str) -> str:
         """Folder of CSV files with the raw rows of a source, as an extract would land them."""

@@ -150,7 +150,7 @@ def raw_web_events(tables: Tables) -> DataFrame:
                F.concat(F.lit("M"), F.lpad((F.col("_k") % 12 + 1).cast("string"), 3, "0")))
         .otherwise("").alias("match_id"),
         F.concat(F.lit("SESS"), F.col("user_id").cast("string"), F.lit("-"),
-                 F.date_format("ts", "yyyyMMdd")).alias("session_id"),
+                 F.regexp_replace(F.col("ts").cast("date").cast("string"), "-", "")).alias("session_id"),
         F.concat(F.lit(" "), F.upper("_event")).alias("event_type"),
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from audience_lens.config import EVENT_PAGES, TIERS, EngineConfig
+from audience_lens.functions.cleaning import clock, moment
 from audience_lens.functions.hashing import (
     drawn, hash60, pick, pick_index, pick_weighted, with_draws,
 )
@@ -101,11 +102,7 @@ def _by_persona(values: dict[str, Column], who: Column, default: Column) -> Colu
 def _moment(u: Column, start: dt.datetime, end: dt.datetime) -> Column:
     """Uniform second between two times."""
     seconds = F.floor(u * (int((end - start).total_seconds()) + 1)).cast("bigint")
-    return F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-
-
-def _clock(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    return moment(start) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def _channel(rows: DataFrame, tag: str, n_supporters: int, seed: int,
@@ -168,7 +165,7 @@ def gen_web_events(rows: DataFrame, n_supporters: int, cfg: EngineConfig, seed:
         .withColumn("event_type", event)
         .select(
             supporter_id(F.col("_who")).alias("supporter_id"),
-            _clock(ts).alias("event_timestamp"),
+            clock(ts).alias("event_timestamp"),
             page["p"].alias("page_type"), page["t"].alias("page_name"),
             F.when(page["p"] == "Store",
                    F.concat(F.lit("P"), (pick_index(u_code, 100) + 1000).cast("string")))
@@ -213,7 +210,7 @@ def gen_ecommerce_orders(rows: DataFrame, n_supporters: int, cfg: EngineConfig,
             F.concat(F.col("category"), F.lit(" 2024/25")).alias("product"),
             "category", F.col("quantity").cast("string").alias("quantity"),
             (cents.cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string").alias("revenue"),
-            _clock(F.when(drawn("merch.ts") < 0.55, _moment(u_ts, start, now))
+            clock(F.when(drawn("merch.ts") < 0.55, _moment(u_ts, start, now))
                    .otherwise(_moment(u_ts, recent, now))).alias("purchase_timestamp"),
         ))
 
@@ -238,7 +235,7 @@ def gen_ticket_orders(rows: DataFrame, n_supporters: int, cfg: EngineConfig, see
             supporter_id(F.col("_who")).alias("supporter_id"),
             game["m"].alias("match"), game["c"].alias("competition"), "ticket_type",
             (cents.cast("decimal(18,0)") / 100).cast("decimal(18,2)").cast("string").alias("ticket_price"),
-            _clock(_moment(drawn("ticket", 3), now - dt.timedelta(days=HISTORY_DAYS), now))
+            clock(_moment(drawn("ticket", 3), now - dt.timedelta(days=HISTORY_DAYS), now))
             .alias("purchase_timestamp"),
             F.when(drawn("ticket.seen") < rate, "True").otherwise("False").alias("attended"),
         ))
@@ -268,7 +265,7 @@ def gen_marketing_events(rows: DataFrame, n_supporters: int, cfg: EngineConfig,
             pick(drawn("mail"), list(CAMPAIGNS)).alias("campaign"),
             F.lit("True").alias("sent"), flag(F.col("_open")).alias("opened"),
             flag(F.col("_click")).alias("clicked"), flag(F.col("_convert")).alias("converted"),
-            _clock(ts).alias("timestamp"),
+            clock(ts).alias("timestamp"),
         ))
 
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_folder: str | None = None
 _written: set[str] = set()
@@ -56,3 +61,10 @@ def materialize(spark: SparkSession, name: str, version: str,
                 build: Callable[[], DataFrame]) -> DataFrame:
     """Write ``build()`` once for this input version, then read the written table."""
     return spark.read.parquet(materialize_path(spark, name, version, build))
+
+
+def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], T]]) -> list[T]:
+    """Run independent Spark jobs at the same time, so that small ones fill the gaps of large ones."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [f.result() for f in futures]

@@ -101,3 +101,15 @@ def test_features_read_only_their_columns(spark, sf_dir):
     agg = ft.ecom_features(Star(spark, sf_dir).silver.ecommerce_orders)
     text = agg._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<supporter_id:string,revenue:double,purchase_timestamp:timestamp_ntz>" in text
+
+
+def test_result_is_independent_of_the_session_zone(spark):
+    def run():
+        return sorted(map(str, medallion.build_360(silver(spark), CFG).collect()))
+
+    utc = run()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert run() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
