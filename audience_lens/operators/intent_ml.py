@@ -213,8 +213,9 @@ def evaluate(predictions: DataFrame, model: str) -> DataFrame:
 
 
 def select_best(metrics: DataFrame) -> DataFrame:
-    """Metric row of the model with the highest AUC."""
-    return metrics.orderBy(F.desc_nulls_last("auc"), "model").limit(1)
+    """Metric row of the model with the highest AUC; on a tie the linear model wins."""
+    linear_first = F.col("model") != "logistic_regression"
+    return metrics.orderBy(F.desc_nulls_last("auc"), linear_first, "model").limit(1)
 
 
 def feature_importance(model: PipelineModel, like: DataFrame, n: int = 8) -> DataFrame:

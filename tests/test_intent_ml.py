@@ -101,3 +101,9 @@ def test_summary(spark):
     df = spark.createDataFrame([(s,) for s in (0, 10, 20, 30)], "purchase_intent_score int")
     r = ml.score_summary(df).first()
     assert (r["n"], r["mean"], r["std"], r["p25"], r["p50"], r["p75"]) == (4, 15.0, 12.91, 7.5, 15.0, 22.5)
+
+
+def test_linear_model_wins_a_tie(spark):
+    df = spark.createDataFrame([("boosted_trees", 0.9), ("logistic_regression", 0.9), ("x", None)],
+                               "model string, auc double")
+    assert ml.select_best(df).first()["model"] == "logistic_regression"
