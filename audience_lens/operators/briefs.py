@@ -92,23 +92,31 @@ def _unfenced(reply: Column) -> Column:
 def parse_brief(facts: DataFrame, reply: str, cfg: EngineConfig, author: str = "GenAI") -> DataFrame:
     """Model reply of each supporter as a brief.
 
-    Missing keys take defaults; a reply that is not a JSON object falls back to the template.
+    Missing keys take defaults; a reply that is not exactly one JSON object falls back to the template.
+    The parser stops behind the first value, so the reply is read inside an object and inside a list:
+    text behind it breaks at least one of the two, as they close differently.
     """
     broken = "_broken"
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in (*BRIEF_KEYS, broken)])
     body = _unfenced(F.col(reply))
-    parsed = F.from_json(body, schema, {
-        "columnNameOfCorruptRecord": broken, "mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+    brief = T.StructType([T.StructField(k, T.StringType()) for k in BRIEF_KEYS])
+
+    def inside(before: str, kind: T.DataType, after: str) -> Column:
+        schema = T.StructType([T.StructField("v", kind), T.StructField(broken, T.StringType())])
+        return F.from_json(F.concat(F.lit(before), body, F.lit(after)), schema, {
+            "columnNameOfCorruptRecord": broken, "mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+
+    parsed = F.struct(inside('{"v":', brief, "}").alias("one"), inside('{"v":[', T.ArrayType(brief), "]}").alias("many"))
     channel, kpi, supporting = rules.action_meta(F.col("recommended_action"), cfg)
     defaults = {"recommended_channel": channel, "primary_kpi": kpi, "supporting_kpi": supporting,
                 "risk_guardrail": F.lit(SHORT_GUARDRAIL)}
     template = _template(cfg)
-    ok = body.startswith("{") & F.col(f"_reply.{broken}").isNull()
+    ok = (body.startswith("{") & F.col("_reply.one.v").isNotNull() & F.col(f"_reply.one.{broken}").isNull()
+          & F.col(f"_reply.many.{broken}").isNull() & (F.size("_reply.many.v") == 1))
     usable = F.coalesce(ok, F.lit(False))
     return facts.withColumn("_reply", parsed).select(
         "supporter_id",
         F.coalesce("recommended_action", F.lit(C.STADIUM_TOUR)).alias("recommended_action"),
-        *[F.when(usable, F.coalesce(f"_reply.{k}", defaults.get(k, F.lit(""))))
+        *[F.when(usable, F.coalesce(f"_reply.one.v.{k}", defaults.get(k, F.lit(""))))
           .otherwise(template[k]).alias(k) for k in BRIEF_KEYS],
         F.when(usable, author).otherwise(TEMPLATE_AUTHOR).alias("generated_by"),
     )

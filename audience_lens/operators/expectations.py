@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -115,28 +115,36 @@ def warn_rules(source: str, today: Column | None = None) -> dict[str, Column]:
     }.get(source, dict)()
 
 
-def quality_report(layers: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Per source ``{name: (bronze, silver)}``: ingested, passed, rejected, duplicates, pass rate.
+def quality_report(layers: Mapping[str, tuple[DataFrame, DataFrame]],
+                   typed: Mapping[str, Callable[[DataFrame], DataFrame]],
+                   keys: Mapping[str, str]) -> DataFrame:
+    """Per source ``{name: (bronze, silver)}``: ingested, passed, rejected, duplicates, lost, pass rate.
 
-    Ingested and rejected come from one pass over Bronze. Counts are stacked and summed per
-    source, so no join is needed.
+    Duplicates are counted on their own: accepted rows less distinct records, which are known by the
+    source's key in ``keys`` or, without one, by all columns that ``typed`` gives. ``lost`` are accepted
+    records that are neither in Silver nor a duplicate (a bad earliest copy that took its key along).
+    Counts are stacked and summed per source, so no join is needed.
     """
-    def row(name: str, ingested: Column, rejected: Column, passed: Column) -> list[Column]:
-        return [F.lit(name).alias("source"), ingested.alias("ingested"),
-                rejected.alias("rejected"), passed.alias("passed")]
+    names = ("ingested", "rejected", "passed", "duplicates")
+
+    def row(name: str, **counts: Column) -> list[Column]:
+        zero = F.lit(0).cast("bigint")
+        return [F.lit(name).alias("source"), *[counts.get(c, zero).alias(c) for c in names]]
 
-    zero = F.lit(0).cast("bigint")
     parts = []
     for name, (bronze, silver) in layers.items():
         verdict = reject_reason(quarantine_reasons(name))
         parts.append(bronze.agg(F.count("*").alias("n"), F.count(verdict).alias("bad"))
-                     .select(*row(name, F.col("n"), F.col("bad"), zero)))
-        parts.append(silver.agg(F.count("*").alias("n")).select(*row(name, zero, zero, F.col("n"))))
-    counts = reduce(DataFrame.unionAll, parts).groupBy("source").agg(
-        *[F.sum(c).alias(c) for c in ("ingested", "rejected", "passed")])
+                     .select(*row(name, ingested=F.col("n"), rejected=F.col("bad"))))
+        parts.append(silver.agg(F.count("*").alias("n")).select(*row(name, passed=F.col("n"))))
+        accepted = typed[name](bronze.filter(verdict.isNull()))
+        records = accepted.groupBy(*([keys[name]] if name in keys else accepted.columns)).agg(F.count("*").alias("n"))
+        parts.append(records.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
+                     .select(*row(name, duplicates=F.col("n"))))
+    counts = reduce(DataFrame.unionAll, parts).groupBy("source").agg(*[F.sum(c).alias(c) for c in names])
     return counts.select(
-        "source", "ingested", "passed", "rejected",
-        (F.col("ingested") - F.col("rejected") - F.col("passed")).alias("duplicates"),
+        "source", "ingested", "passed", "rejected", "duplicates",
+        (F.col("ingested") - F.col("rejected") - F.col("duplicates") - F.col("passed")).alias("lost"),
         F.when(F.col("ingested") > 0, F.round(
             F.lit(100.0) * (F.col("ingested") - F.col("rejected")) / F.col("ingested"), 2)
         ).alias("pass_rate"),

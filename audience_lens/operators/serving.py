@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,7 @@ from pyspark.sql import functions as F
 
 from audience_lens.config import EngineConfig
 from audience_lens.functions import rules
-from audience_lens.functions.cleaning import clock
-from audience_lens.schemas import ACTIVATION_SCHEMA, PROFILE_COLUMNS
+from audience_lens.schemas import LOG_SCHEMA, PROFILE_COLUMNS
 
 _AMOUNTS = ("total_ticket_spend", "total_merchandise_spend", "total_customer_value")
 _COUNTS = PROFILE_COLUMNS[PROFILE_COLUMNS.index("matches_attended"):]
@@ -94,17 +94,30 @@ def export_snapshot(served: DataFrame) -> DataFrame:
 # ---- activation log ---------------------------------------------------------------------
 
 
+APPROVAL_COLUMNS = ("supporter_id", "next_best_action", "campaign_objective", "recommended_channel",
+                    "campaign_message", "approved_by_user")
+
+
+def _part(c: str) -> Column:
+    """A value with its length, or a dash for NULL: parts of different rows never read alike."""
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+
+
+def _micros(c: str) -> Column:
+    """Time of day to the microsecond, independent of any zone."""
+    text = F.col(c).cast("string")
+    return F.rpad(F.when(text.contains("."), text).otherwise(F.concat(text, F.lit("."))), 26, "0")
+
+
 def activations(approvals: DataFrame, approved_at: Column | None = None) -> DataFrame:
     """Approved briefs as log rows with status ``queued``.
 
-    The id is a digest of what was approved, when and by whom: a replayed batch gets the same
-    ids. Needs supporter_id, next_best_action, campaign_objective, recommended_channel,
-    campaign_message, approved_by_user.
+    The id is a digest of everything approved, by whom and when, to the microsecond: two approvals
+    that differ in any column, NULLs included, have two ids. Needs ``APPROVAL_COLUMNS``.
     """
     at = (F.current_timestamp() if approved_at is None else approved_at).cast("timestamp_ntz")
-    parts = ["supporter_id", "next_best_action", "campaign_objective", "approved_by_user"]
     stamped = approvals.withColumn("approved_at", at)
-    mark = F.md5(F.concat_ws("|", *parts, clock("approved_at")))
+    mark = F.md5(F.concat_ws("|", *map(_part, APPROVAL_COLUMNS), _micros("approved_at")))
     return stamped.select(
         F.concat(F.lit("act-"), mark).alias("activation_id"),
         "supporter_id",
@@ -118,14 +131,18 @@ def activations(approvals: DataFrame, approved_at: Column | None = None) -> Data
     )
 
 
-def append_activations(log_path: str, approvals: DataFrame, approved_at: Column | None = None) -> None:
-    activations(approvals, approved_at).write.mode("append").parquet(log_path)
+def append_activations(log_path: str, approvals: DataFrame, batch_id: str,
+                       approved_at: Column | None = None) -> None:
+    """Adds one batch. Each batch has a folder of its own, so a replayed or retried batch takes the
+    place of its first writing, and readers need not look for repeated ids."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):
+        raise ValueError(f"batch id {batch_id!r} must be letters, digits, dots, dashes or underscores")
+    activations(approvals, approved_at).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
 
 def read_activations(spark: SparkSession, log_path: str) -> DataFrame:
-    """The log; a repeated id (replayed batch or retried write) counts once."""
-    return (spark.read.schema(ACTIVATION_SCHEMA).parquet(log_path)
-            .dropDuplicates(["activation_id"]))
+    """Every approval of every batch, with its ``batch_id``; one scan, no shuffle."""
+    return spark.read.schema(LOG_SCHEMA).parquet(log_path)
 
 
 def recent_activations(log: DataFrame, limit: int = 20) -> DataFrame:

@@ -135,3 +135,6 @@ CLEANERS = {
     "ticket_orders": clean_ticket_orders,
     "marketing_events": clean_marketing_events,
 }
+
+#: Sources whose rows are one record per key; the others by all columns.
+KEYS = {"supporters": "supporter_id", "ecommerce_orders": "order_id"}

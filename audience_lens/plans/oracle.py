@@ -143,8 +143,10 @@ layer("raw_mkt", "", f"""
     {CAMPAIGNS}[CAST(json_extract_string(props, '$.k') AS INT) % 9 + 1] AS campaign,
     'True' AS sent,
     CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'True' ELSE 'False' END AS opened,
-    CASE WHEN event_type IN ('click', 'purchase') THEN 'True' ELSE 'False' END AS clicked,
-    CASE WHEN event_type = 'purchase' THEN 'True' ELSE 'False' END AS converted,
+    CASE WHEN event_type IN ('click', 'purchase') AND CAST(json_extract_string(props, '$.k') AS INT) % 16 = 3
+      THEN 'True' ELSE 'False' END AS clicked,
+    CASE WHEN event_type = 'purchase' AND CAST(json_extract_string(props, '$.k') AS INT) % 16 = 3
+      THEN 'True' ELSE 'False' END AS converted,
     CASE WHEN event_id % 521 <> 2 THEN ts END AS "timestamp"
   FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 103 = 0)""")
 
@@ -159,7 +161,8 @@ layer("raw_merch", "", f"""
                AS DOUBLE) AS rev FROM lineitem) JOIN orders ON l_orderkey = o_orderkey""")
 
 layer("raw_tix", "", f"""
-  SELECT CASE WHEN o_orderkey % 613 = 1 THEN '' ELSE 'S' || o_custkey END AS supporter_id,
+  SELECT CASE WHEN o_orderkey % 613 = 1 THEN ''
+      ELSE 'S' || (o_custkey - CASE WHEN o_custkey % 5 = 2 THEN 1 ELSE 0 END) END AS supporter_id,
     CASE WHEN o_orderkey % 401 = 7 THEN '' ELSE 'Match ' || (o_orderkey % 12 + 1) END AS match,
     CASE WHEN o_orderkey % 12 < 9 THEN 'Premier League' WHEN o_orderkey % 12 < 11 THEN 'Champions League'
          ELSE 'Carabao Cup' END AS competition,
@@ -653,7 +656,7 @@ SELECT 'S' || user_id AS supporter_id, event_type AS campaign, 'S' || user_id ||
 FROM events WHERE event_id % 7 = 3""")
 twin("write_table", "", f"""
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {micro('o_orderdate')} AS o_orderdate, o_orderpriority
-FROM orders WHERE o_totalprice >= 1000""")
+FROM orders""")
 PROFILE_ALL = [*PROFILE, "season_ticket_holder", *AMOUNTS, *P_COUNTS]
 rows("publish_profile", "profile", PROFILE_ALL)
 rows("publish_nba", "nba", ["supporter_id", "recommended_action", "recommendation_reason", "intent_score",
@@ -701,25 +704,31 @@ layer("brief", "facts", f"""
   FROM facts""")
 
 
-def activation(at: str, where: str) -> str:
+def activation(at: str, where: str, batch: str, action: str = "recommended_action",
+               channel: str = "recommended_channel", message: str = "suggested_message") -> str:
+    marked = "|| '|' ||".join(f"COALESCE(length({c}) || ':' || {c}, '-')" for c in (
+        "supporter_id", action, "objective", channel, message, "'marketing_user'"))
     return f"""
-  SELECT 'act-' || md5(supporter_id || '|' || recommended_action || '|' || objective || '|marketing_user|'
-      || strftime({at}, '%Y-%m-%d %H:%M:%S')) AS activation_id, supporter_id, recommended_action,
-    recommended_action AS selected_action, objective AS campaign, {at} AS created_at, 'queued' AS status,
-    recommended_action AS next_best_action, objective AS campaign_objective, recommended_channel,
-    suggested_message AS campaign_message, 'marketing_user' AS approved_by_user, {at} AS approved_at
+  SELECT 'act-' || md5({marked} || '|' || {micro(at)}) AS activation_id, supporter_id, {action} AS recommended_action,
+    {action} AS selected_action, objective AS campaign, {at} AS created_at, 'queued' AS status,
+    {action} AS next_best_action, objective AS campaign_objective, {channel} AS recommended_channel,
+    {message} AS campaign_message, 'marketing_user' AS approved_by_user, {at} AS approved_at, '{batch}' AS batch_id
   FROM brief WHERE purchase_intent_score >= 70 {where}"""
 
 
-layer("activation_log", "brief", activation(REF, "") + " UNION ALL "
-      + activation(f"({REF} + INTERVAL 1 DAY)", "AND recommended_action = 'Membership Upgrade'"))
+layer("activation_log", "brief", activation(REF, "", "day-1") + " UNION ALL "
+      + activation(f"({REF} + INTERVAL 1 DAY)", "AND recommended_action = 'Membership Upgrade'", "day-2"))
+layer("channel_log", "brief", activation(REF, "", "batch-1", channel="'Email'") + " UNION ALL "
+      + activation(REF, "", "batch-1", channel="'App Push'", message="'Open the app'") + " UNION ALL "
+      + activation(REF, "", "batch-1", action="CAST(NULL AS VARCHAR)", channel="'Email'", message="CAST(NULL AS VARCHAR)"))
 LOG = ["activation_id", "supporter_id", "recommended_action", "selected_action", "campaign", "created_at",
        "status", "next_best_action", "campaign_objective", "recommended_channel", "campaign_message",
-       "approved_by_user", "approved_at"]
+       "approved_by_user", "approved_at", "batch_id"]
+rows("append_activations_channels", "channel_log", LOG, ("created_at", "approved_at"))
 rows("append_activations", "activation_log", LOG, ("created_at", "approved_at"))
 rows("recent_activations", "activation_log", LOG, ("created_at", "approved_at"),
      tail="ORDER BY activation_log.approved_at DESC, activation_id LIMIT 20")
-layer("first_batch", "brief", activation(REF, ""))
+layer("first_batch", "brief", activation(REF, "", "day-1"))
 twin("evolve_log_schema", "first_batch", f"""
 SELECT activation_id, supporter_id, status, {micro('approved_at')} AS approved_at,
   CAST(NULL AS VARCHAR) AS campaign_objective, CAST(NULL AS VARCHAR) AS reviewer FROM first_batch""")
@@ -798,11 +807,20 @@ for _source, (_columns, _time) in RAW_COLUMNS.items():
     _listed = ", ".join(f'{micro(chr(34) + c + chr(34))} AS "{c}"' if c == _time else f'"{c}"' for c in _columns)
     twin(f"quarantine_{_source}", _raw,
          f"SELECT {_listed}, {REJECT[_source]} AS _reject_reason FROM {_raw} WHERE {REJECT[_source]} IS NOT NULL")
+# what makes two valid raw rows the same record
+IDENTITY = {"supporters": blank("supporter_id"), "ecommerce_orders": blank("order_id"),
+            "web_events": f"{blank('supporter_id')}, event_timestamp, page_type, page_name, {blank('product_id')}, "
+                          f"{blank('match_id')}, session_id, lower(TRIM(event_type))",
+            "ticket_orders": f"{blank('supporter_id')}, match, competition, ticket_type, ticket_price, "
+                             f"purchase_timestamp, {true('attended')}",
+            "marketing_events": f"{blank('supporter_id')}, campaign, {true('sent')}, {true('opened')}, {true('clicked')}, "
+                                f'{true("converted")}, "timestamp"'}
 twin("quality_report", " ".join(f"{r} {s}" for r, s in SOURCES.values()), """
-SELECT source, ingested, passed, rejected, ingested - rejected - passed AS duplicates,
+SELECT source, ingested, passed, rejected, duplicates, ingested - rejected - duplicates - passed AS lost,
   ROUND(100.0::DOUBLE * (ingested - rejected) / ingested, 2) AS pass_rate FROM (""" + " UNION ALL ".join(
     f"SELECT '{n}' AS source, count(*) AS ingested, count({REJECT[n]}) AS rejected, "
-    f"(SELECT count(*) FROM {s}) AS passed FROM {r}" for n, (r, s) in SOURCES.items()) + ")")
+    f"(SELECT count(*) FROM {s}) AS passed, (SELECT COALESCE(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM {r} "
+    f"WHERE {REJECT[n]} IS NULL GROUP BY {IDENTITY[n]})) AS duplicates FROM {r}" for n, (r, s) in SOURCES.items()) + ")")
 twin("uniqueness_check", "gold", """
 SELECT count(*) AS n_rows, count(DISTINCT supporter_id) AS n_keys, count(*) = count(DISTINCT supporter_id)
   AS is_unique FROM gold""")
@@ -1041,7 +1059,7 @@ twin("parse_brief", "brief facts", f"""
 SELECT supporter_id, recommended_action,
   {", ".join(f"CASE WHEN ok THEN {REPLIED[k]} ELSE b.{k} END AS {k}" for k in BRIEF)},
   CASE WHEN ok THEN 'GenAI' ELSE generated_by END AS generated_by
-FROM (SELECT *, purchase_intent_score % 4 < 2 AS ok FROM brief) b
+FROM (SELECT *, purchase_intent_score % 10 < 2 AS ok FROM brief) b
   JOIN (SELECT supporter_id, first_name FROM facts) USING (supporter_id)""")
 twin("reason_prompt", "gold", f"""
 SELECT supporter_id, 'You are Club''s supporter marketing analyst. In ONE concise sentence (max 30 words, no preamble), '
@@ -1087,7 +1105,7 @@ SELECT supporter_id, ticket_views_30d AS ticket_views, cart_abandons_30d AS cart
   product_views_30d AS product_views FROM f_web""")
 twin("ticket_browsers_no_purchase", "f_web s_tix", """
 SELECT supporter_id, ticket_views_30d AS ticket_views FROM f_web WHERE ticket_views_30d >= 2 AND supporter_id NOT IN (
-  SELECT supporter_id FROM s_tix WHERE ticket_type = 'Hospitality' AND attended)""")
+  SELECT supporter_id FROM s_tix)""")
 twin("frequent_non_members", "s_tix s_sup", f"""
 SELECT supporter_id, count(*) AS matches_attended, membership_tier FROM s_tix JOIN s_sup USING (supporter_id)
 WHERE attended AND {NON_MEMBER} GROUP BY supporter_id, membership_tier HAVING count(*) >= 3""")

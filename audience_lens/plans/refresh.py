@@ -10,7 +10,7 @@ from audience_lens.config import EngineConfig
 from audience_lens.operators import expectations as ex
 from audience_lens.operators import features as ft
 from audience_lens.operators import serving
-from audience_lens.operators.silver import CLEANERS
+from audience_lens.operators.silver import CLEANERS, KEYS, TYPERS
 from audience_lens.plans import medallion
 from audience_lens.schemas import SCORES_SCHEMA, SOURCES
 from audience_lens.sources.tables import read_table, write_table
@@ -52,4 +52,4 @@ def report(spark: SparkSession, root: str) -> DataFrame:
     """Quality report over the written layers."""
     return ex.quality_report({
         s: (read_table(spark, f"{root}/bronze/{s}"), read_table(spark, f"{root}/silver/{s}"))
-        for s in SOURCES})
+        for s in SOURCES}, TYPERS, KEYS)

@@ -105,8 +105,8 @@ def rescue_malformed(s: Star) -> DataFrame:
 def write_table(s: Star) -> DataFrame:
     """Overwrite, then scan back."""
     path = s.folder(f"rewritten/{s.stamp()}/orders")
+    tables.write_table(s.table("customer"), path)
     tables.write_table(s.table("orders"), path)
-    tables.write_table(s.table("orders").filter("o_totalprice >= 1000"), path)
     return tables.read_table(s.spark, path)
 
 
@@ -166,8 +166,8 @@ def _log(s: Star) -> DataFrame:
     approvals, first = _approvals(s), scoring.ref_ts(s.cfg)
     second = first + F.expr("INTERVAL 1 DAY")
     members = approvals.filter(F.col("next_best_action") == "Membership Upgrade")
-    for batch, at in ((approvals, first), (members, second), (approvals, first)):
-        serving.append_activations(path, batch, at)
+    for name, batch, at in (("day-1", approvals, first), ("day-2", members, second), ("day-1", approvals, first)):
+        serving.append_activations(path, batch, name, at)
     return serving.read_activations(s.spark, path)
 
 
@@ -176,6 +176,19 @@ def append_activations(s: Star) -> DataFrame:
     return _log(s)
 
 
+@query
+def append_activations_channels(s: Star) -> DataFrame:
+    """Each approval by two channels with two messages, one of them without action or message, in a
+    batch that is sent twice."""
+    path = s.folder(f"activation_log/{s.stamp()}")
+    mail = _approvals(s).withColumn("recommended_channel", F.lit("Email"))
+    push = mail.withColumns({"recommended_channel": F.lit("App Push"), "campaign_message": F.lit("Open the app")})
+    bare = mail.withColumns({"next_best_action": F.lit(None).cast("string"), "campaign_message": F.lit(None).cast("string")})
+    for _ in range(2):
+        serving.append_activations(path, mail.unionByName(push).unionByName(bare), "batch-1", scoring.ref_ts(s.cfg))
+    return serving.read_activations(s.spark, path)
+
+
 @query
 def recent_activations(s: Star) -> DataFrame:
     return serving.recent_activations(_log(s), 20)
@@ -319,7 +332,8 @@ for _source in schemas.SOURCES:
 
 @query
 def quality_report(s: Star) -> DataFrame:
-    return ex.quality_report({x: (s.raw(x), getattr(s.silver, x)) for x in schemas.SOURCES})
+    return ex.quality_report({x: (s.raw(x), getattr(s.silver, x)) for x in schemas.SOURCES},
+                             silver.TYPERS, silver.KEYS)
 
 
 @query
@@ -595,9 +609,12 @@ def parse_brief(s: Star) -> DataFrame:
     score = F.col("purchase_intent_score")
     body = F.concat(F.lit('{"objective": "Win '), F.col("first_name"), F.lit('", "primary_kpi": "K'),
                     score.cast("string"), F.lit('"}'))
-    reply = (F.when(score % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-             .when(score % 4 == 1, body).when(score % 4 == 2, F.concat(F.lit("Sure: "), body))
-             .otherwise(F.lit('{"objective": "cut')))
+    broken = [F.concat(F.lit("Sure: "), body), F.lit('{"objective": "cut'), F.concat(body, F.lit(" thanks!")),
+              F.concat(body, F.lit(" "), body), F.concat(body, F.lit(", "), body), F.concat(F.lit("["), body, F.lit("]")),
+              F.lit("null"), F.lit("")]
+    reply = F.when(score % 10 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(score % 10 == 1, body)
+    for i, text in enumerate(broken, 2):
+        reply = reply.when(score % 10 == i, text)
     return briefs.parse_brief(s.facts.withColumn("reply", reply), "reply", s.cfg)
 
 
@@ -704,9 +721,7 @@ def recent_counts(s: Star) -> DataFrame:
 
 @query
 def ticket_browsers_no_purchase(s: Star) -> DataFrame:
-    """Ticket browsers who never attended in hospitality."""
-    return profile.ticket_browsers_no_purchase(
-        s.silver.web_events, s.silver.ticket_orders.filter("ticket_type = 'Hospitality' AND attended"), s.cfg)
+    return profile.ticket_browsers_no_purchase(s.silver.web_events, s.silver.ticket_orders, s.cfg)
 
 
 @query

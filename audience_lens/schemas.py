@@ -82,3 +82,5 @@ ACTIVATION_SCHEMA = T.StructType([
     T.StructField("approved_by_user", T.StringType()),
     T.StructField("approved_at", T.TimestampNTZType()),
 ])
+
+LOG_SCHEMA = T.StructType([*ACTIVATION_SCHEMA.fields, T.StructField("batch_id", T.StringType())])

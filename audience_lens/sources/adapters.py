@@ -33,6 +33,7 @@ STAR_CONFIG = EngineConfig(
                               hospitality_value=3_500_000.0, upgrade_attended=5),
 )
 
+# Product categories and campaign names.
 CATEGORIES = ("Home Shirt", "Away Shirt", "Third Kit", "Training Wear", "Accessories", "Retro",
               "Kids", "Hospitality")
 CAMPAIGNS = ("Season Ticket Renewal", "New Home Kit Launch", "Membership Drive",
@@ -158,16 +159,18 @@ def raw_web_events(tables: Tables) -> DataFrame:
 def raw_marketing_events(tables: Tables) -> DataFrame:
     events = _copies(tables("events"), replay=_mod("event_id", 103) == 0)
 
-    def flag(*kinds: str) -> Column:
-        return F.when(F.col("event_type").isin(*kinds), "True").otherwise("False")
+    def flag(*kinds: str, also: Column = F.lit(True)) -> Column:
+        return F.when(F.col("event_type").isin(*kinds) & also, "True").otherwise("False")
+
+    followed = _k() % 16 == 3  # few campaigns are followed, so active users of both labels exist
 
     return events.select(
         _event_supporter(_mod("event_id", 509) == 4, F.lit(False)).alias("supporter_id"),
         _pick(CAMPAIGNS, _k() % 9).alias("campaign"),
         F.lit("True").alias("sent"),
         flag("view", "click", "purchase").alias("opened"),
-        flag("click", "purchase").alias("clicked"),
-        flag("purchase").alias("converted"),
+        flag("click", "purchase", also=followed).alias("clicked"),
+        flag("purchase", also=followed).alias("converted"),
         F.when(_mod("event_id", 521) != 2, F.col("ts")).alias("timestamp"),
     )
 
@@ -209,8 +212,10 @@ def raw_ticket_orders(tables: Tables) -> DataFrame:
     orders = _copies(tables("orders"), replay=_mod("o_orderkey", 97) == 0)
     slot = F.col("o_orderkey") % 12
     price = F.col("o_totalprice")
-    return orders.select(
-        F.when(_mod("o_orderkey", 613) == 1, "").otherwise(_supporter("o_custkey"))
+    # Some customers never buy tickets themselves: the one before them holds theirs.
+    holder = F.col("o_custkey") - F.when(_mod("o_custkey", 5) == 2, 1).otherwise(0)
+    return orders.withColumn("_holder", holder).select(
+        F.when(_mod("o_orderkey", 613) == 1, "").otherwise(_supporter("_holder"))
         .alias("supporter_id"),
         F.when(_mod("o_orderkey", 401) == 7, "").otherwise(
             F.concat(F.lit("Match "), (slot + 1).cast("string"))).alias("match"),

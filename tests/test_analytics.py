@@ -97,6 +97,13 @@ def test_opportunity_members_of_one_type(spark):
     ('```json\n{"objective": "Go"}\n```', "Go", "GenAI"),
     ('```\n{"objective": "Go"}\n``` trailing', "Go", "GenAI"),
     ("{}", "", "GenAI"),
+    ('{"objective": "x"} thanks!', None, "template (LLM unavailable)"),
+    ('{"objective": "x"} {"objective": "y"}', None, "template (LLM unavailable)"),
+    ('{"objective": "x"}, {"objective": "y"}', None, "template (LLM unavailable)"),
+    ('{"objective": "x"},"w":{"objective": "y"}', None, "template (LLM unavailable)"),
+    ('{"objective": "x"}] [{"objective": "y"}', None, "template (LLM unavailable)"),
+    ('{"objective": "x"}} {"v":{"objective": "y"}', None, "template (LLM unavailable)"),
+    ("null", None, "template (LLM unavailable)"),
     ('{"objective": "cut', None, "template (LLM unavailable)"),
     ("Sorry.", None, "template (LLM unavailable)"),
     ('["objective"]', None, "template (LLM unavailable)"),
@@ -125,10 +132,10 @@ def test_log_is_idempotent_and_evolves(spark, tmp_path):
     at = F.lit("2025-09-20 12:00:00").cast("timestamp_ntz")
     path = str(tmp_path / "log")
     for _ in range(2):
-        serving.append_activations(path, approvals, at)
+        serving.append_activations(path, approvals, "one", at)
     log = serving.read_activations(spark, path)
-    assert log.count() == 2 and {r["status"] for r in log.collect()} == {"queued"}
-    serving.append_activations(path, approvals, at + F.expr("INTERVAL 1 HOUR"))
+    assert log.count() == 2 and log.select("activation_id").distinct().count() == 2 and {r["status"] for r in log.collect()} == {"queued"}
+    serving.append_activations(path, approvals, "two", at + F.expr("INTERVAL 1 HOUR"))
     newest = serving.recent_activations(serving.read_activations(spark, path), 2).collect()
     assert {r["approved_at"].hour for r in newest} == {13}
     old = log.drop("approved_at", "campaign_message")
@@ -136,6 +143,20 @@ def test_log_is_idempotent_and_evolves(spark, tmp_path):
     assert set(wide.columns) == set(log.columns)
 
 
+def test_two_channels_are_two_approvals(spark, tmp_path):
+    from pyspark.sql import functions as F
+    rows = [("S1", "Hospitality", None, "Email", "m", "me"), ("S1", "Hospitality", None, "App Push", "m2", "me"),
+            ("S1", None, "Hospitality", "Email", "m", "me"), ("S1", "Hospitality", None, "Email", None, "me")]
+    approvals = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in serving.APPROVAL_COLUMNS))
+    path, at = str(tmp_path / "log"), F.lit("2025-09-20 12:00:00.25").cast("timestamp_ntz")
+    for _ in range(2):
+        serving.append_activations(path, approvals, "b", at)
+    ids = [r["activation_id"] for r in serving.read_activations(spark, path).collect()]
+    assert len(ids) == len(set(ids)) == 4
+    with pytest.raises(ValueError):
+        serving.append_activations(path, approvals, "../b", at)
+
+
 def test_merge_keeps_the_reason_when_the_new_one_is_null(spark):
     from test_features import silver
 

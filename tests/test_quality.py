@@ -94,11 +94,20 @@ def test_report_adds_up_with_independent_duplicates(spark):
             ORDER | {"order_id": "O3", "revenue": "-1"}]
     bronze = raw(spark, "ecommerce_orders", *rows)
     clean = silver.clean_ecommerce_orders(bronze, drop_first=True)
-    (r,) = ex.quality_report({"ecommerce_orders": (bronze, clean)}).collect()
+    (r,) = ex.quality_report({"ecommerce_orders": (bronze, clean)}, silver.TYPERS, silver.KEYS).collect()
     valid = silver.type_ecommerce_orders(bronze).filter("order_id IS NOT NULL AND revenue >= 0")
     independent = valid.count() - valid.select("order_id").distinct().count()
     assert (r["ingested"], r["passed"], r["rejected"], r["duplicates"]) == (5, 2, 2, independent)
-    assert r["pass_rate"] == 60.0
+    assert r["pass_rate"] == 60.0 and r["lost"] == 0
+
+
+def test_report_tells_lost_orders_from_duplicates(spark):
+    rows = [ORDER | {"revenue": "-1", "purchase_timestamp": "2024-01-01 00:00:00"},
+            ORDER | {"purchase_timestamp": "2024-01-02 00:00:00"}, ORDER | {"order_id": "O2"}, ORDER | {"order_id": "O2"}]
+    bronze = raw(spark, "ecommerce_orders", *rows)
+    (r,) = ex.quality_report({"ecommerce_orders": (bronze, silver.clean_ecommerce_orders(bronze))},
+                             silver.TYPERS, silver.KEYS).collect()
+    assert (r["ingested"], r["passed"], r["rejected"], r["duplicates"], r["lost"]) == (4, 1, 1, 1, 1)
 
 
 def test_observed_warnings_cost_no_extra_scan(spark):
