@@ -6,7 +6,7 @@ start outwards where Hoeffding bounds can't tell their ending and next-class fre
 with all that follows them. The same is done for ordinary runs of credential characters that no base
 pattern covers. Every other run in every text is then a candidate: it is added as kind ``format`` if
 some credential automaton explains it better than the ordinary one by more than MIN_ODDS, and by more
-than every ordinary run of the sample.
+than the share USUAL of the ordinary sample (which may hold credentials no base pattern knows).
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ SAMPLE = 600  # distinct strings of each kind, by hash, to which automata are fi
 LONGEST = 128  # characters of a string that is learnt from; all are scored whole
 ALPHA = 0.05  # chance of keeping two states apart that are alike
 MIN_ODDS = log(1e4)
+USUAL = 0.99
 CLASSES = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"),
            **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G")}
 _CLASSES = str.maketrans(CLASSES)
@@ -150,7 +151,8 @@ class Scorer:
         self.automata = {k: Automaton(v) for k, v in sorted(classes.items()) if k != ORDINARY}
         self.ordinary = Automaton(classes.get(ORDINARY, ["ggggggggagga"]))
         self.memo: dict[str, float] = {}
-        self.threshold = max([MIN_ODDS, *(self.odds(s) for s in classes.get(ORDINARY, ()))]) if self.automata else float("inf")
+        usual = sorted(self.odds(s) for s in classes.get(ORDINARY, ()))
+        self.threshold = max(MIN_ODDS, usual[int(USUAL * len(usual))] if usual else 0) if self.automata else float("inf")
 
     def odds(self, classes: str) -> float:
         """Log of how much better the best credential automaton explains the string."""
