@@ -49,6 +49,7 @@ NEVER = dt.datetime(2000, 1, 1)
 NEVER_DAYS = 999
 
 
+# Fixed values, down to BusinessAssumptions: weights, limits and rates of the rules.
 @dataclass(frozen=True)
 class EngagementWeights:
     sessions: Decimal = Decimal("3.0")

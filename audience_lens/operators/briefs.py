@@ -122,7 +122,6 @@ def parse_brief(facts: DataFrame, reply: str, cfg: EngineConfig, author: str = "
     )
 
 
-# Wording of the prompt.
 def reason_prompt(scored: DataFrame, cfg: EngineConfig, action: str = "recommended_next_action") -> DataFrame:
     """Prompt that asks for a one-sentence reason, built from features only."""
     def n(c: str) -> Column:
@@ -130,16 +129,12 @@ def reason_prompt(scored: DataFrame, cfg: EngineConfig, action: str = "recommend
 
     value = F.bround("total_customer_value", 0).cast("bigint").cast("string")
     prompt = F.concat(
-        F.lit(f"You are {cfg.brand}'s supporter marketing analyst. In ONE concise sentence (max 30 "
-              "words, no preamble), explain why we recommend the action for this supporter. Action: "),
-        F.col(action), F.lit(". Supporter: "), _text("first_name"),
-        F.lit(", membership tier "), F.col("membership_tier"),
-        F.lit(", matches attended "), n("matches_attended"),
-        F.lit(", ticket views (30d) "), n("ticket_views_30d"),
-        F.lit(", product views (30d) "), n("product_views_30d"),
-        F.lit(", abandoned baskets (30d) "), n("cart_abandons_30d"),
-        F.lit(", membership page views (30d) "), n("membership_views_30d"),
-        F.lit(", lifetime value £"), value,
-        F.lit(", intent score "), n("purchase_intent_score"), F.lit("/100."),
+        F.lit(f"{cfg.brand} wants to offer "), F.col(action), F.lit(" to "), _text("first_name"),
+        F.lit(". Write one sentence of at most 30 words that says why, using these facts only: tier "),
+        F.col("membership_tier"), F.lit("; matches attended "), n("matches_attended"),
+        F.lit("; in the last 30 days, ticket views "), n("ticket_views_30d"),
+        F.lit(", product views "), n("product_views_30d"), F.lit(", abandoned baskets "), n("cart_abandons_30d"),
+        F.lit(", membership page views "), n("membership_views_30d"),
+        F.lit("; spent so far "), value, F.lit(" pounds; intent "), n("purchase_intent_score"), F.lit(" of 100."),
     )
     return scored.select("supporter_id", prompt.alias("prompt"))

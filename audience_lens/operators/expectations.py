@@ -112,6 +112,7 @@ def warn_rules(source: str, today: Column | None = None) -> dict[str, Column]:
         },
         "web_events": lambda: {"known_event_type": cl.known_event_type("event_type")},
         "ticket_orders": lambda: {"match_populated": F.col("match").isNotNull() & (F.col("match") != "")},
+        "supporter_360": lambda: {"one_row_per_supporter": F.col("supporter_id").isNotNull()},
     }.get(source, dict)()
 
 

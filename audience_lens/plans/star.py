@@ -22,7 +22,7 @@ from audience_lens.operators.silver import CLEANERS
 from audience_lens.plans import medallion
 from audience_lens.sources import adapters
 from audience_lens.sources.workspace import (
-    in_parallel, input_version, materialize, materialize_path, version_tag, workspace,
+    guard, in_parallel, input_version, materialize, materialize_path, version_tag, workspace,
 )
 
 
@@ -166,18 +166,24 @@ class Star:
         return self._written("leak_free_frame", lambda: intent_ml.stratified_split(
             self.leak_free_features))
 
-    def _model_frame(self, name: str) -> DataFrame:
+    def written(self, name: str, build) -> DataFrame:
+        """A layer written once, for results that are read more than once."""
+        return self._written(name, build)
+
+    def model_frame(self, name: str) -> DataFrame:
         return self.leak_free_frame if name.endswith("leak_free") else self.frame
 
     def model(self, name: str) -> PipelineModel:
         """Model fitted once per input version, saved to and loaded from the work folder."""
         path = f"{self.folder('model_' + name)}/{version_tag(self.version)}"
-        if path not in _fitted:
-            fit = intent_ml.train_gbt if name == "boosted_trees" else intent_ml.train_logreg
-            fit(self._model_frame(name).filter("NOT is_test")).write().overwrite().save(path)
-            _fitted.add(path)
+        frame = self.model_frame(name)
+        with guard(path):
+            if path not in _fitted:
+                fit = intent_ml.train_gbt if name == "boosted_trees" else intent_ml.train_logreg
+                fit(frame.filter("NOT is_test")).write().overwrite().save(path)
+                _fitted.add(path)
         return PipelineModel.load(path)
 
     def test_predictions(self, name: str) -> DataFrame:
         return self._written(f"predictions_{name}", lambda: intent_ml.score_all(
-            self.model(name), self._model_frame(name).filter("is_test")))
+            self.model(name), self.model_frame(name).filter("is_test")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from audience_lens.schemas import CORRUPT, raw_schema
 
@@ -36,9 +38,33 @@ def rescue_malformed(bronze: DataFrame) -> DataFrame:
     return bronze.filter(F.col(CORRUPT).isNotNull())
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
-                partition_by: tuple[str, ...] = ()) -> None:
-    df.write.mode(mode).format(fmt).partitionBy(*partition_by).save(path)
+VERSIONS, KEPT = "_versions", 2
+
+
+def _folder(spark: SparkSession, path: str):
+    """A folder on whatever store it lies, as the store's client and the folder's name."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of a table, oldest first; a version is complete once its commit is marked."""
+    store, folder = _folder(spark, f"{path}/{VERSIONS}")
+    if not store.exists(folder):
+        return []
+    found = sorted(status.getPath().toString() for status in store.listStatus(folder))
+    return [v for v in found if store.exists(_folder(spark, f"{v}/_SUCCESS")[1])]
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
+    """Writes a new version beside the current one. Readers see it when its commit is marked complete, a
+    failed write leaves the table as it was, and the last KEPT versions stay readable."""
+    spark = df.sparkSession
+    version = f"{path}/{VERSIONS}/{time.time_ns():020d}"
+    df.write.format(fmt).partitionBy(*partition_by).save(version)
+    for old in versions(spark, path)[:-KEPT]:
+        store, folder = _folder(spark, old)
+        store.delete(folder, True)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str],
@@ -48,5 +74,7 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str
      .option("batchsize", "1000").jdbc(url, table, properties=dict(properties)))
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """The current version of a table, or the folder itself if it was not written by ``write_table``."""
+    reader = spark.read.format(fmt) if schema is None else spark.read.format(fmt).schema(schema)
+    return reader.load((versions(spark, path) or [path])[-1])

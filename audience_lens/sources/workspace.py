@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
@@ -17,6 +19,16 @@ T = TypeVar("T")
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_folder: str | None = None
 _written: set[str] = set()
+_guards_lock = threading.Lock()
+
+
+_guards: defaultdict[str, threading.RLock] = defaultdict(threading.RLock)
+
+
+def guard(path: str) -> threading.RLock:
+    """Lock of one folder: of two threads that need a layer, one writes it and the other waits."""
+    with _guards_lock:
+        return _guards[path]
 
 
 def workspace(spark: SparkSession) -> str:
@@ -51,9 +63,10 @@ def materialize_path(spark: SparkSession, name: str, version: str,
                      build: Callable[[], DataFrame], fmt: str = "parquet", **options: str) -> str:
     """Write ``build()`` once per application and input version; returns the folder."""
     path = f"{workspace(spark)}/{name}/{version_tag(version)}"
-    if path not in _written:
-        build().write.mode("overwrite").format(fmt).options(**options).save(path)
-        _written.add(path)
+    with guard(path):
+        if path not in _written:
+            build().write.mode("overwrite").format(fmt).options(**options).save(path)
+            _written.add(path)
     return path
 
 

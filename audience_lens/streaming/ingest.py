@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from audience_lens.schemas import SOURCES, raw_schema
 from audience_lens.sources.tables import csv_options, with_lineage
+from audience_lens.sources.workspace import in_parallel
 
 
 def stream_source(spark: SparkSession, landing: str, source: str,
@@ -33,5 +36,5 @@ def ingest_stream(spark: SparkSession, landing: str, source: str, checkpoint: st
 
 def ingest_all(spark: SparkSession, landing: str, state: str, bronze: str) -> None:
     """All five sources from ``landing/<source>`` to ``bronze/<source>``."""
-    for source in SOURCES:
-        ingest_stream(spark, f"{landing}/{source}", source, f"{state}/{source}", f"{bronze}/{source}")
+    in_parallel(spark, [
+        partial(ingest_stream, spark, f"{landing}/{s}", s, f"{state}/{s}", f"{bronze}/{s}") for s in SOURCES])

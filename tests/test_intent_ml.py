@@ -97,6 +97,25 @@ def test_models_learn_the_signal(spark, frame):
         assert set(top) == {"product_views_30d", "ticket_views_30d"}
 
 
+def test_fit_check_notices_an_untrained_model(spark, frame):
+    split = ml.stratified_split(frame)
+    model = ml.train_logreg(split.filter("NOT is_test"))
+    good = ml.fit_check(model, split, "m").first()
+    assert (good["slope"], good["beats_constant"], good["in_range"]) == (0.0, True, True)
+    assert good["n_train"] + good["n_test"] == 600 and good["n_test"] == split.filter("is_test").count()
+    for bad in (ml.train_logreg(split.filter("NOT is_test"), max_iter=0), ml.train_logreg(split.filter("is_test"))):
+        row = ml.fit_check(bad, split, "m").first()
+        assert row["slope"] > 0
+
+
+def test_scores_with_repeated_enriched_reasons(spark):
+    scores = spark.createDataFrame([("S1", 9, "Hospitality", 0.5), ("S2", 8, "Hospitality", 0.4)],
+                                   "supporter_id string, purchase_intent_score int, recommended_next_action string, probability double")
+    reasons = spark.createDataFrame([("S1", "b"), ("S1", "a"), ("S3", "c")], "supporter_id string, genai_reason string")
+    rows = {r["supporter_id"]: r["genai_reason"] for r in ml.publish_scores(scores, CFG, reasons).collect()}
+    assert rows == {"S1": "a", "S2": None}
+
+
 def test_summary(spark):
     df = spark.createDataFrame([(s,) for s in (0, 10, 20, 30)], "purchase_intent_score int")
     r = ml.score_summary(df).first()

@@ -81,6 +81,40 @@ def test_ingest_reads_each_file_once(spark, built):
     assert bronze.filter("_source_file IS NULL OR _ingested_at IS NULL").count() == 0
 
 
+def test_model_job_overlays_gold(spark, tmp_path):
+    """From landed CSV to an overlay: scores, metrics, warnings, snapshot, feed and report are written."""
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "root")
+    land(generator.generate(spark, CFG, **SIZES), landing)
+    rf.refresh(spark, landing, root, CFG, train=True)
+    scores, gold = table(spark, root, "model/scores"), table(spark, root, "gold/supporter_360")
+    assert scores.count() == gold.count() == 400
+    both = gold.select("supporter_id", F.col("purchase_intent_score").alias("g")).join(scores, "supporter_id")
+    assert both.filter("g != purchase_intent_score").count() == 0
+    metrics = {r["model"]: r["auc"] for r in table(spark, root, "model/metrics").collect()}
+    assert set(metrics) == {"logistic_regression", "boosted_trees"} and all(0 < a <= 1 for a in metrics.values())
+    warned = {(r["source"], r["rule"]): r["failed"] for r in table(spark, root, "quality/warnings").collect()}
+    assert warned[("web_events", "known_event_type")] == 1 and warned[("supporter_360", "one_row_per_supporter")] == 0
+    assert table(spark, root, "quality/report").count() == len(SOURCES)
+    for name in ("snapshot", "activity_feed"):
+        assert tables.read_table(spark, f"{root}/serving/{name}", "json").count() == 400
+    again = table(spark, root, "gold/scored")
+    rf.refresh(spark, landing, root, CFG)
+    assert again.count() == 400  # a reader of the version before is not disturbed
+
+
+def test_failed_write_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (3, 4, 5):
+        tables.write_table(spark.range(n), path)
+    assert len(tables.versions(spark, path)) == tables.KEPT
+    with pytest.raises(Exception):
+        tables.write_table(spark.range(9).select(F.raise_error(F.lit("stop")).alias("id")), path)
+    assert tables.read_table(spark, path).count() == 5
+    plain = str(tmp_path / "plain")
+    spark.range(2).write.parquet(plain)
+    assert tables.read_table(spark, plain).count() == 2
+
+
 def test_malformed_lines_are_rescued(spark, tmp_path):
     (tmp_path / "m.csv").write_text(
         "supporter_id,campaign,sent,opened,clicked,converted,timestamp\n"
