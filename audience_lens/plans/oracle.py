@@ -1065,10 +1065,13 @@ twin("cohort_flags", "gold", f"""
 SELECT count(*) FILTER ({BASELINE[0][0]}) AS ticket_intent, count(*) FILTER ({BASELINE[2][0]}) AS membership_opp,
   count(*) FILTER ({BASELINE[3][0]}) AS merch_opp, count(*) FILTER ({BASELINE[5][0]}) AS reengagement FROM gold""")
 top("hero_pick", "supporter_id, first_name, recommended_action, intent_score", NON_MEMBER, "intent_score", 1)
-twin("supporter_detail", "served feed", """
+DETAIL_SQL = """
 SELECT supporter_id, first_name, purchase_intent_score AS intent, engagement_score AS engagement,
   recommended_action, recommendation_reason, opportunity_type, COALESCE(activity, '') AS activity
-FROM served LEFT JOIN feed USING (supporter_id)""")
+FROM served LEFT JOIN feed USING (supporter_id)"""
+twin("supporter_detail", "served feed", DETAIL_SQL)
+twin("supporter_detail_ids", "served feed", DETAIL_SQL + " WHERE recommended_action = 'Hospitality'")
+twin("facts_json", "facts", f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in FACTS)} FROM facts")
 rows("brief_facts", "facts", FACTS)
 BRIEF = ["objective", "why_now", "recommended_channel", "offer_angle", "suggested_message", "primary_kpi",
          "supporting_kpi", "risk_guardrail"]

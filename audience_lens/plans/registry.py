@@ -643,11 +643,20 @@ _served("cohort_flags", lambda s: an.cohort_flags(s.gold, s.cfg))
 _served("hero_pick", lambda s: an.hero_pick(s.served))
 
 
+DETAIL = ("supporter_id", "first_name", "intent", "engagement", "recommended_action", "recommendation_reason",
+          "opportunity_type", "activity")
+
+
 @query
 def supporter_detail(s: Star) -> DataFrame:
-    return _activity_text(an.supporter_detail(s.served, s.feed)).select(
-        "supporter_id", "first_name", "intent", "engagement", "recommended_action",
-        "recommendation_reason", "opportunity_type", "activity")
+    return _activity_text(an.supporter_detail(s.served, s.feed)).select(*DETAIL)
+
+
+@query
+def supporter_detail_ids(s: Star) -> DataFrame:
+    """The lookup for given ids: here those recommended hospitality."""
+    ids = s.served.filter(F.col("recommended_action") == "Hospitality").select("supporter_id")
+    return _activity_text(an.supporter_detail(s.served, s.feed, ids)).select(*DETAIL)
 
 
 @query
@@ -655,6 +664,13 @@ def brief_facts(s: Star) -> DataFrame:
     return s.facts
 
 
+@query
+def facts_json(s: Star) -> DataFrame:
+    """Every fact as its JSON document gives it back."""
+    docs = briefs.facts_json(s.facts)
+    return docs.select(*[F.get_json_object("facts", f"$.{c}").alias(c) for c in briefs.FACTS])
+
+
 @query
 def template_brief(s: Star) -> DataFrame:
     return briefs.template_brief(s.facts, s.cfg)
