@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from audience_lens.plans.registry import QUERIES
 from audience_lens.plans.star import Star
+from audience_lens.sources.workspace import in_parallel
 
 HEADLINE = (
     # straight from the given tables
@@ -55,8 +56,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     start = time.perf_counter()
     star = Star(spark, sf_dir)
-    for layer in ("served", "feed", "frame"):
-        getattr(star, layer)
+    star.silver
+    in_parallel(spark, [lambda name=name: getattr(star, name) for name in ("served", "feed", "frame")])
     queries = {"layers": round(time.perf_counter() - start, 3)}
     for name in HEADLINE:
         run(spark, name, sf_dir)
