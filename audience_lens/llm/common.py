@@ -19,13 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the folder all executors share and read it again: lineage is cut, and a lost
-    executor costs only the tasks it ran."""
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{workspace(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the folder all executors share and read it again: lineage is cut, and a lost
+    executor costs only the tasks it ran."""
+    return _written(df, name)[0]
+
+
+class Scratch:
+    """Written tables of one operator that its result does not read: ``clear`` removes them."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _written(df, name)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths.clear()
 
 
 def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from audience_lens.llm.common import arrow_map, mix64, record, saved, small, table, texts, union_spans
+from audience_lens.llm.common import Scratch, arrow_map, mix64, record, saved, small, table, texts, union_spans
 
 WIDTH = 200
 K = 48
@@ -216,11 +216,11 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield edge(tuple(x[0] for x in carry), 2 if first else 1)  # 2: the bucket's only row
 
 
-def _repeated(rows: DataFrame, name: str) -> DataFrame:
+def _repeated(rows: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     """Sample-sorts (kg, seg, rk, packed) rows and tells which are resolved or open."""
     spark = rows.sparkSession
     dealt = rows.repartitionByRange("kg", "seg").sortWithinPartitions("kg", "seg")
-    found = saved(arrow_map(dealt, _compare_neighbours, FOUND), name)
+    found = scratch.saved(arrow_map(dealt, _compare_neighbours, FOUND), name)
     edges = sorted(found.filter(F.col("kind") == EDGE).collect(), key=lambda r: (r.part, r.side))  # two a bucket
     flags = [r.flags for r in edges]
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -334,8 +334,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(rk, start, end) of repeated spans for documents (rk, text); spans of a document may overlap."""
-    found = _repeated(arrow_map(docs.select("rk", "text"), _segment_rows, SORTED), "segments")
+    """(rk, spans) for documents (rk, text) with repeated spans; a document's spans may overlap."""
+    scratch = Scratch()
+    found = _repeated(arrow_map(docs.select("rk", "text"), _segment_rows, SORTED), "segments", scratch)
     lo = F.shiftright("packed", OFF_BITS)
     is_span = F.col("packed") < 0
     resolved = found.filter(F.col("kind") == SPAN).select(
@@ -343,17 +344,19 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         F.when(is_span, -F.col("packed")).otherwise(lo + F.shiftright("packed", 8).bitwiseAND(0xFF) + WIDTH).alias("end"))
     opened = found.filter(F.col("kind") == OPEN)
     wanted = opened.groupBy("rk").agg(F.collect_list(F.struct("kg", "packed")).alias("wanted"))
-    contexts = saved(arrow_map(docs.join(wanted, "rk").select("rk", "text", "wanted"), _context_rows,
+    contexts = scratch.saved(arrow_map(docs.join(wanted, "rk").select("rk", "text", "wanted"), _context_rows,
                                "kg long, rk long, packed long, context binary"), "contexts")
     many = contexts.groupBy("kg").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("kg")
-    many = saved(many, "hot")
+    many = scratch.saved(many, "hot")
     near = contexts.join(many, "kg", "left_anti").repartitionByRange("kg").sortWithinPartitions("kg")
     spans = resolved.unionByName(arrow_map(near, _open_spans, "rk long, start long, end long"))
     if not many.isEmpty():
-        windows = _repeated(arrow_map(contexts.join(many, "kg", "left_semi"), _window_rows, SORTED), "windows")
+        windows = _repeated(arrow_map(contexts.join(many, "kg", "left_semi"), _window_rows, SORTED), "windows", scratch)
         spans = spans.unionByName(windows.filter(F.col("kind") == SPAN).select(
             "rk", lo.alias("start"), (lo + WIDTH).alias("end")))
-    return spans
+    out = saved(spans.groupBy("rk").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
+    scratch.clear()
+    return out
 
 
 def _united(spans: list | None) -> tuple[list[int], list[int]]:
@@ -371,9 +374,7 @@ def _with_spans(docs: DataFrame, hot: int) -> DataFrame:
     that repeat an id with another text stay apart."""
     keyed = docs.withColumn("rk", F.xxhash64("_id", "_text"))
     own = keyed.select("rk", F.col("_text").alias("text"))
-    spans = repeated_spans(own, hot).groupBy("rk").agg(
-        F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return keyed.join(spans, "rk", "left")
+    return keyed.join(repeated_spans(own, hot), "rk", "left")
 
 
 def dedup_digests(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

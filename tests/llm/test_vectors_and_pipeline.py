@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from audience_lens.llm import ann, components, registry, toxicity
+from audience_lens.llm.common import Scratch
 
 VECTORS = "vec_id long, embedding array<float>, vec string, code int, block long"
 
@@ -137,11 +138,11 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    df = spark.createDataFrame([*edges, (None, 3)], "u long, v long")
-    got = {r.node: r.component for r in components.components(df).collect()}
+    df, scratch = spark.createDataFrame([*edges, (None, 3)], "u long, v long"), Scratch()
+    got = {r.node: r.component for r in components.components(df, scratch).collect()}
     own = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in own}
-    assert components.components(df.limit(0)).count() == 0
+    assert components.components(df.limit(0), scratch).count() == 0
 
 
 def test_pipeline_stages(spark, sf_dir):
