@@ -3,10 +3,11 @@
 Every kind's credentials are learnt as a probabilistic automaton. Strings that the base patterns label,
 a bounded sample of each kind, form a prefix tree over character classes; states are merged from the
 start outwards where Hoeffding bounds can't tell their ending and next-class frequencies apart, along
-with all that follows them. The same is done for ordinary runs of credential characters that no base
-pattern covers. Every other run in every text is then a candidate: it is added as kind ``format`` if
-some credential automaton explains it better than the ordinary one by more than MIN_ODDS, and by more
-than the share USUAL of the ordinary sample (which may hold credentials no base pattern knows).
+with all that follows them. Every other run of credential characters in every text is then a candidate:
+it is added as kind ``format`` if some credential automaton explains it better than ordinary writing
+does by more than MIN_ODDS. Ordinary writing is a fixed chain over letters, digits and signs; nothing
+of it is fitted to unlabelled runs, so credentials no base pattern knows can't pass for ordinary by
+being frequent.
 """
 
 from __future__ import annotations
@@ -29,12 +30,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 KINDS = ("assign", "access", "hex")
-ORDINARY = "ordinary"
 SAMPLE = 600  # distinct strings of each kind, by hash, to which automata are fitted
 LONGEST = 128  # characters of a string that is learnt from; all are scored whole
 ALPHA = 0.05  # chance of keeping two states apart that are alike
 MIN_ODDS = log(1e4)
-USUAL = 0.99
+# ordinary writing: chances of the next type of character, or of the end, after a type; "" is the start, "caps"
+# a capital after another
+ORDINARY = {"": {"lower": 0.55, "upper": 0.2, "digit": 0.15, "sign": 0.1},
+            "lower": {"lower": 0.92, "upper": 0.01, "digit": 0.01, "sign": 0.02, "end": 0.04},
+            "upper": {"lower": 0.6, "caps": 0.3, "digit": 0.03, "sign": 0.03, "end": 0.04},
+            "caps": {"lower": 0.01, "caps": 0.92, "digit": 0.01, "sign": 0.02, "end": 0.04},
+            "digit": {"lower": 0.02, "upper": 0.02, "digit": 0.7, "sign": 0.16, "end": 0.1},
+            "sign": {"lower": 0.45, "upper": 0.15, "digit": 0.25, "sign": 0.1, "end": 0.05}}
+# the type of a class, and its chance within the type
+TYPES = {"a": ("lower", 0.35), "g": ("lower", 0.65), "A": ("upper", 0.35), "G": ("upper", 0.65), "0": ("digit", 1.0),
+         ".": ("sign", 0.35), "-": ("sign", 0.25), "/": ("sign", 0.15), "_": ("sign", 0.1), "=": ("sign", 0.1), "+": ("sign", 0.05)}
 CLASSES = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"),
            **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G")}
 _CLASSES = str.maketrans(CLASSES)
@@ -145,14 +155,33 @@ class Automaton:
         return out + log((self.ends[at] + 0.02) / (self.total[at] + 1.0))
 
 
+def _steps() -> dict[tuple[str, str], tuple[float, str]]:
+    """(type read last, class) -> log of the class's chance, type to go on from."""
+    out = {}
+    for last, chances in ORDINARY.items():
+        for c, (kind, share) in TYPES.items():
+            to = "caps" if kind == "upper" and last in ("upper", "caps") else kind
+            out[last, c] = (log(chances[to] * share), to)
+    return out
+
+
+_STEPS = _steps()
+
+
+def ordinary(classes: str) -> float:
+    """Log of the chance of a string of classes, not empty, in ordinary writing."""
+    at, out = "", 0.0
+    for c in classes:
+        chance, at = _STEPS[at, c]
+        out += chance
+    return out + log(ORDINARY[at]["end"])
+
+
 class Scorer:
     def __init__(self, learnt: dict[str, list[str]]) -> None:
         classes = {k: [s[:LONGEST].translate(_CLASSES) for s in v] for k, v in learnt.items() if v}
-        self.automata = {k: Automaton(v) for k, v in sorted(classes.items()) if k != ORDINARY}
-        self.ordinary = Automaton(classes.get(ORDINARY, ["ggggggggagga"]))
+        self.automata = {k: Automaton(v) for k, v in sorted(classes.items())}
         self.memo: dict[str, float] = {}
-        usual = sorted(self.odds(s) for s in classes.get(ORDINARY, ()))
-        self.threshold = max(MIN_ODDS, usual[int(USUAL * len(usual))] if usual else 0) if self.automata else float("inf")
 
     def odds(self, classes: str) -> float:
         """Log of how much better the best credential automaton explains the string."""
@@ -161,18 +190,17 @@ class Scorer:
             if len(self.memo) > MEMO:
                 self.memo.clear()
             best = max((a.log_likelihood(classes) for a in self.automata.values()), default=float("-inf"))
-            known = self.memo[classes] = best - self.ordinary.log_likelihood(classes)
+            known = self.memo[classes] = best - ordinary(classes)
         return known
 
     def added(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
-        return [(a, b) for a, b, run in candidates(text, base) if self.odds(run.translate(_CLASSES)) > self.threshold]
+        return [(a, b) for a, b, run in candidates(text, base) if self.odds(run.translate(_CLASSES)) > MIN_ODDS]
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each kind, the task's SAMPLE distinct strings with the smallest hashes."""
-    kinds = (*KINDS, ORDINARY)
-    heaps: dict[str, list[tuple[int, str]]] = {k: [] for k in kinds}
-    held: dict[str, set[str]] = {k: set() for k in kinds}
+    heaps: dict[str, list[tuple[int, str]]] = {k: [] for k in KINDS}
+    held: dict[str, set[str]] = {k: set() for k in KINDS}
 
     def offer(kind: str, s: str) -> None:
         heap, own = heaps[kind], held[kind]
@@ -188,12 +216,9 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in small(batches):
         for text in texts(batch, "_text"):
-            base = base_spans(text)
-            for _, kind, _, s in base:
+            for _, kind, _, s in base_spans(text):
                 offer(KINDS[kind], s)
-            for _, _, s in candidates(text, base):
-                offer(ORDINARY, s)
-    rows = [(k, s, -key) for k in kinds for key, s in heaps[k]]
+    rows = [(k, s, -key) for k in KINDS for key, s in heaps[k]]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                                       pa.array([r[2] >> 1 for r in rows], pa.int64())], ["kind", "value", "hash"])
 
@@ -203,7 +228,7 @@ def learn(docs: DataFrame) -> Scorer:
     not depend on their order."""
     found = saved(arrow_map(docs.select("_text"), _labelled, "kind string, value string, hash long").distinct(), "labelled")
     return Scorer({k: [r.value for r in found.filter(F.col("kind") == k).orderBy("hash", "value").limit(SAMPLE).collect()]
-                   for k in (*KINDS, ORDINARY)})
+                   for k in KINDS})
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -331,6 +331,20 @@ def test_secret_formats_are_inferred(spark):
     assert all(r.n_assign == 1 and r.n_hex == 1 for d, r in out.items() if d < 1000)
 
 
+@pytest.mark.parametrize("n", [4, 200, 2000])
+def test_frequent_unknown_formats_are_all_found(spark, n):
+    """Credentials no base pattern names are found however many of the runs they are."""
+    rng = random.Random(n)
+    key = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    rows = [(i, f"incomprehensible WORDSINCAPITALLETTERS 4179672074533673 then token={key(40)}") for i in range(200)]
+    rows += [(1000 + i, f"nothing but {key(20)}-{key(20)} uncharacteristically") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = secrets.scan(df).collect()
+    assert all(r.spans == "format:12:53" if r.doc_id >= 1000 else r.n_format == 0 for r in out)
+    assert {r.text for r in secrets.without_secrets(df).collect() if r.doc_id >= 1000} == {
+        "nothing but [secret] uncharacteristically"}
+
+
 def test_automaton_generalises():
     strings = ["0a" * n for n in range(2, 30)] * 3
     own = secrets.Automaton(strings)
