@@ -267,6 +267,24 @@ def test_jaccard_chains_and_hot_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute.components(rows)
 
 
+def test_one_of_each_group_without_usable_ids(spark):
+    """Groups are told apart by themselves: ids may be null or stand for several texts."""
+    words = lambda s, n=40: [f"{s}{i}" for i in range(n)]
+    near = lambda s: " ".join([*words(s), "more"])
+    text = {s: " ".join(words(s)) for s in "abcdefgh"}
+    rows = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]),  # unlinked, of equal size
+            (None, text["e"]), (None, near("e")), (8, text["f"]), (8, near("f")),  # near copies, not of equal size
+            (None, text["g"]), (9, near("g")), (5, text["h"]), (4, near("h")), (4, near("h")),
+            (None, ""), (None, None), (3, ""), (2, "")]
+    out = jaccard_join.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == 12
+    for s, ids in {"a": {None}, "b": {None}, "c": {7}, "d": {7}, "e": {None}, "f": {8}, "g": {9}, "h": {4}}.items():
+        own = [d for d, t in got if t and t.startswith(f"{s}0 ")]
+        assert len(own) == 1 and set(own) == ids
+    assert {(d, t) for d, t in got if not t} == {(None, ""), (None, None), (3, ""), (2, "")}
+
+
 def digests(df, **options):
     return sorted(((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
                    for r in suffix_dedup.dedup_digests(df, **options).collect()))
