@@ -1,19 +1,20 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-The index is fitted on a bounded sample of labelled documents (EXAMPLES, by hash of the id). Its terms
-are words and word beginnings that are clearly commoner in toxic examples (TERMS at most); document
-frequencies are counted over all documents. The examples with any term stand in blocks of BLOCK; every
-term knows its largest weight in each block, so a query adds up an upper bound for every block, reads
-blocks in falling order of the bound and stops when no block can beat its K-th neighbour: the result is
-that of comparing with every example. Votes are weighted by similarity, then mapped to chances by a
+"""Toxicity by the nearest labelled examples: exact cosine of weighed TF-IDF vectors.
+
+The index is fitted on a bounded sample of labelled documents (EXAMPLES, by hash of the id). Its terms are
+all words and word beginnings of the sample, and every example with a letter is in it; document
+frequencies are counted over all documents. A term's TF-IDF weight is multiplied by how clearly it tells
+toxic examples from others (``relevance``, never 0), as plain TF-IDF lets the many words of a long text
+hide its few telling ones. Every query is compared with every example: terms that many examples have by a
+matrix product, the others by their postings. Votes are weighted by similarity, then mapped to chances by a
 monotone table fitted to left-out votes of the examples.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from audience_lens.llm.common import arrow_map, record, saved, small, table, texts
 
 EXAMPLES = 12_000
-TERMS = 4_000
-MIN_DOCS = 3  # toxic examples a term needs
-BLOCK = 32
+OFTEN = 8  # terms that more than one example in OFTEN has are compared by a matrix product
+TOGETHER = 128  # queries compared at once
+FLOOR = 0.01  # relevance of a term that tells nothing
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.15  # similarity that speaks for the share of toxic examples
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,81 +39,146 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n))
 
 
-class Index:
-    """Examples as unit vectors over the terms; postings by term, sorted by block."""
+def relevance(pos: np.ndarray, neg: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Squared number of standard errors between the log odds of a term in toxic and in clean examples and 0."""
+    ratio = np.log(((pos + 0.5) / (toxic + 1)) / ((neg + 0.5) / (clean + 1)))
+    return FLOOR + ratio ** 2 / (1 / (pos + 0.5) + 1 / (neg + 0.5))
+
+
+def packed(terms: dict[str, int]) -> bytes:
+    """Terms in the order of their ids; none has a line break."""
+    return zlib.compress("\n".join(sorted(terms, key=terms.__getitem__)).encode(), 1)
+
+
+def unpacked(data: bytes) -> dict[str, int]:
+    text = zlib.decompress(data).decode()
+    return {t: i for i, t in enumerate(text.split("\n"))} if text else {}
+
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]) -> None:
-        self.terms, self.idf = terms, idf
-        held = [(d, y, self.vector(counts)) for d, y, counts in examples]
-        blank = [y for _, y, v in held if not v]
+Vector = tuple[np.ndarray, np.ndarray]  # terms and weights
+
+
+def _arrays(counts: dict[int, int]) -> Vector:
+    return np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+
+
+class Index:
+    """Examples (id, label, counts by term) as unit vectors over the terms; postings by term, sorted by example."""
+
+    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: Iterable[tuple[int, int, dict[int, int] | Vector]]) -> None:
+        self.terms, self.idf, self.dense = terms, idf, None
+        held, blank = [], []
+        for d, y, counts in examples:
+            t, n = _arrays(counts) if isinstance(counts, dict) else counts
+            if norm := self._norm(t, n):
+                held.append((d, y, t.astype(np.int32), n.astype(np.int32), norm))
+            else:
+                blank.append(y)
         self.blank = (sum(blank) + 0.5 * 0.02) / (len(blank) + 0.5)
-        # like examples next to each other: by strongest term
-        held = sorted(((max(v, key=lambda t: (v[t], -t)), d, y, v) for d, y, v in held if v), key=lambda x: x[:2])
-        self.ids = np.array([d for _, d, _, _ in held], np.int64)
-        self.labels = np.array([y for _, _, y, _ in held], float)
-        self.vectors = [v for *_, v in held]
+        self.ids = np.array([d for d, *_ in held], np.int64)
+        self.labels = np.array([y for _, y, *_ in held], float)
+        self.norms = np.array([norm for *_, norm in held], float)
         self.prior = float(self.labels.mean()) if len(held) else self.blank
-        by: dict[int, tuple[list[int], list[float]]] = {}
-        for i, v in enumerate(self.vectors):
-            for t, w in v.items():
-                at = by.setdefault(t, ([], []))
-                at[0].append(i)
-                at[1].append(w)
-        self.postings = {}
-        for t, (rows, weights) in by.items():
-            rows_, weights_ = np.array(rows), np.array(weights)
-            blocks, first = np.unique(rows_ // BLOCK, return_index=True)
-            self.postings[t] = (rows_, weights_, blocks, np.append(first, len(rows_)), np.maximum.reduceat(weights_, first))
-        self.n_blocks = -(-len(held) // BLOCK)
+        own = np.concatenate([np.zeros(0, np.int32), *(t for _, _, t, _, _ in held)])
+        order = np.argsort(own, kind="stable")
+        self.rows = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for _, _, t, _, _ in held])[order]
+        self.counts = np.concatenate([np.zeros(0, np.int32), *(n for _, _, _, n, _ in held)])[order]
+        self.sizes = np.bincount(own, minlength=len(idf)).astype(np.int32)
+        del own, order
+        self._weigh()
         self.steps = np.array([[0.0, 1.0], [0.0, 1.0]])
-        self._calibrate()
+        self._calibrate([(t, n) for _, _, t, n, _ in held])
+        self.dense = None
+
+    def _weigh(self) -> None:
+        """What follows from terms, counts and norms."""
+        self.first = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
+        self.weights = (1 + np.log(self.counts)) * np.repeat(self.idf, self.sizes) / self.norms[self.rows]
+        often = self.sizes.astype(np.int64) * OFTEN > len(self.ids)
+        self.often = np.where(often, np.cumsum(often) - 1, -1)  # row in the matrix, or -1
+
+    def __getstate__(self) -> dict:
+        """Small, as every executor gets a copy; the rest is made again there."""
+        out = {k: v for k, v in self.__dict__.items() if k not in ("dense", "first", "weights", "often")}
+        width = np.int16 if len(self.ids) < 1 << 15 else np.int32
+        return {**out, "terms": packed(self.terms), "rows": zlib.compress(self.rows.astype(width).tobytes(), 1),
+                "counts": zlib.compress(self.counts.tobytes(), 1), "width": width}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, dense=None, terms=unpacked(state["terms"]))
+        self.rows = np.frombuffer(zlib.decompress(state["rows"]), state["width"]).astype(np.int32)
+        self.counts = np.frombuffer(zlib.decompress(state["counts"]), np.int32)
+        self._weigh()
+
+    @property
+    def vectors(self) -> list[dict[int, float]]:
+        out: list[dict[int, float]] = [{} for _ in self.ids]
+        for t, (a, b) in enumerate(zip(self.first, self.first[1:])):
+            for i, w in zip(self.rows[a:b], self.weights[a:b]):
+                out[i][t] = float(w)
+        return out
+
+    def _norm(self, t: np.ndarray, n: np.ndarray) -> float:
+        return float(np.sqrt((((1 + np.log(n)) * self.idf[t]) ** 2).sum()))
+
+    def _unit(self, t: np.ndarray, n: np.ndarray) -> Vector:
+        norm = self._norm(t, n)
+        return (t, (1 + np.log(n)) * self.idf[t] / norm) if norm else (t[:0], np.zeros(0))
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        weights = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = sum(w * w for w in weights.values()) ** 0.5
-        return {t: float(w / norm) for t, w in weights.items()} if norm else {}
-
-    def nearest(self, q: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the K nearest examples, ties to the earlier row; ``skip`` is left out."""
-        lists = [(w, self.postings[t]) for t, w in q.items() if t in self.postings]
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not lists:
-            return none
-        bound = np.zeros(self.n_blocks)
-        for w, (_, _, blocks, _, top) in lists:
-            bound[blocks] += w * top
-        order = np.argsort(-bound, kind="stable")
-        order = order[:np.count_nonzero(bound)]
-        rows, scores, at, step = *none, 0, 4
-        while at < len(order):
-            if len(scores) == NEIGHBOURS and bound[order[at]] < scores[-1] - 1e-12:
-                break
-            now = np.sort(order[at:at + step])
-            at, step = at + step, step * 2
-            dense = np.zeros((len(now), BLOCK))
-            for w, (own, weight, blocks, first, _) in lists:
-                _, here, there = np.intersect1d(now, blocks, assume_unique=True, return_indices=True)
-                for h, b in zip(here, there):
-                    part = slice(first[b], first[b + 1])
-                    dense[h, own[part] % BLOCK] += w * weight[part]
-            h, c = np.nonzero(dense)
-            new, score = now[h] * BLOCK + c, dense[h, c]
-            if skip >= 0:
-                new, score = new[new != skip], score[new != skip]
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, score])
-            best = np.lexsort((rows, -scores))[:NEIGHBOURS]
-            rows, scores = rows[best], scores[best]
-        return rows, scores
+        t, w = self._unit(*_arrays(counts))
+        return dict(zip(t.tolist(), w.tolist()))
+
+    def _matrix(self) -> np.ndarray:
+        if self.dense is None:
+            chosen = np.flatnonzero(self.often >= 0)
+            self.dense = np.zeros((len(chosen), len(self.ids)))
+            for k, t in enumerate(chosen):
+                part = slice(self.first[t], self.first[t + 1])
+                self.dense[k, self.rows[part]] = self.weights[part]
+        return self.dense
+
+    def search(self, queries: list[Vector], skip: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector rows and cosines of the K nearest examples, ties to the earlier row; the k-th query
+        leaves out row ``skip`` + k."""
+        matrix, out = self._matrix(), []
+        for start in range(0, len(queries), TOGETHER):
+            part = queries[start:start + TOGETHER]
+            known = np.zeros((len(part), len(matrix)))
+            for k, (t, w) in enumerate(part):
+                at = self.often[t]
+                known[k, at[at >= 0]] = w[at >= 0]
+            sums = known @ matrix
+            for k, (t, w) in enumerate(part):
+                rare = self.often[t] < 0
+                t, w = t[rare], w[rare]
+                a, n = self.first[t], self.first[t + 1] - self.first[t]
+                at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                score = sums[k] + np.bincount(self.rows[at], self.weights[at] * np.repeat(w, n), len(self.ids))
+                if skip is not None:
+                    score[skip + start + k] = 0
+                if len(score) > NEIGHBOURS:
+                    near = np.flatnonzero(score >= np.partition(score, -NEIGHBOURS)[-NEIGHBOURS])
+                else:
+                    near = np.arange(len(score))
+                near = near[score[near] > 0]
+                near = near[np.lexsort((near, -score[near]))][:NEIGHBOURS]
+                out.append((near, score[near]))
+        return out
+
+    def nearest(self, q: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+        return self.search([(np.array([*q], np.int64), np.array([*q.values()], float))])[0]
 
     def votes(self, rows: np.ndarray, scores: np.ndarray) -> float:
         weight = scores ** 2  # near examples count more
         return float(((weight * self.labels[rows]).sum() + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT))
 
-    def _calibrate(self) -> None:
+    def _calibrate(self, examples: list[Vector]) -> None:
         """Monotone steps from votes to the share of toxic examples, on votes without the example itself."""
         if len(self.labels) < 20:
             return
-        votes = np.array([self.votes(*self.nearest(v, i)) for i, v in enumerate(self.vectors)])
+        votes = np.array([self.votes(*near) for i in range(0, len(examples), TOGETHER)
+                          for near in self.search([self._unit(*x) for x in examples[i:i + TOGETHER]], skip=i)])
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # pool adjacent violators: sum of labels, size, largest vote
         for v, y in zip(votes[order], self.labels[order]):
@@ -122,19 +188,22 @@ class Index:
                 pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], last[2]]
         self.steps = np.array([[p[2] for p in pools], [(p[0] + 0.1) / (p[1] + 0.2) for p in pools]])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """Chance of label 1 with the neighbours that speak for it; texts without a term have none."""
-        q = self.vector(counts)
-        rows, scores = self.nearest(q)
-        if not len(rows):
-            return self.blank, rows, scores
-        vote = self.votes(rows, scores)
-        chance = float(np.interp(vote, *self.steps))
-        return min(1.0, max(0.0, 0.98 * chance + 0.02 * vote)), rows, scores
+    def score(self, texts_: list[dict[int, int]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Chances of label 1 with the neighbours that speak for it; texts without a term have none."""
+        out = []
+        for rows, scores in self.search([self._unit(*_arrays(counts)) for counts in texts_]):
+            if not len(rows):
+                out.append((self.blank, rows, scores))
+                continue
+            vote = self.votes(rows, scores)
+            chance = float(np.interp(vote, *self.steps))
+            for_it = self.labels[rows] > 0
+            out.append((min(1.0, max(0.0, 0.98 * chance + 0.02 * vote)), rows[for_it], scores[for_it]))
+        return out
 
 
 class _TermIds(dict):
-    """Ids of a word's terms, most often none."""
+    """Ids of a word's terms."""
 
     def __init__(self, terms: dict[str, int]) -> None:
         super().__init__()
@@ -172,43 +241,47 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     clean, toxic = totals.get(0, 0), sum(n for y, n in totals.items() if y)
     seen = arrow_map(sample, distinct, "term string, toxic int").groupBy("term").agg(
         F.sum((F.col("toxic") != 0).cast("int")).alias("pos"), F.sum((F.col("toxic") == 0).cast("int")).alias("neg"))
-    ratio = ((F.col("pos") + 0.5) / (toxic + 1)) / ((F.col("neg") + 0.5) / (clean + 1))
-    gain = F.col("pos") * F.log(ratio)
-    terms = (seen.filter((F.col("pos") >= MIN_DOCS) & (ratio > 4)).orderBy(F.desc(gain), "term").limit(TERMS)
-             .select("term").collect())
-    ids = {r.term: i for i, r in enumerate(terms)}
-    shared = spark.sparkContext.broadcast(ids)  # TERMS at most
+    held = seen.toArrow().sort_by("term")  # the terms of EXAMPLES documents
+    ids = {t: i for i, t in enumerate(held["term"].to_pylist())}
+    weight = relevance(held["pos"].to_numpy(), held["neg"].to_numpy(), toxic, clean)
+    del held
+    shared = spark.sparkContext.broadcast(packed(ids))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = _TermIds(shared.value), np.zeros(len(shared.value) + 1, np.int64)
+        known = _TermIds(unpacked(shared.value))
+        n = np.zeros(len(known.terms) + 1, np.int64)
         for batch in small(batches):
-            for text in texts(batch, "_text"):
-                n[-1] += 1
-                for t in _counts(text, known):
-                    n[t] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["t", "n"])
+            n[-1] += batch.num_rows
+            own = [set(chain.from_iterable(map(known.__getitem__, set(WORD.findall(text.lower()))))) for text in texts(batch, "_text")]
+            n += np.bincount(np.fromiter(chain.from_iterable(own), np.int64), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["t", "n"])
 
-    found = {r.t: r.n for r in arrow_map(docs.select("_text"), frequencies, "t long, n long")
-             .groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    total = found.get(len(ids), 0)
-    idf = np.array([np.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in range(len(ids))])
+    found = arrow_map(docs.select("_text"), frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(len(ids) + 1, np.int64)
+    often[found["t"].to_numpy()] = found["n"].to_numpy()
+    idf = (np.log((1 + often[-1]) / (1 + often[:-1])) + 1) * weight
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _TermIds(shared.value)
+        known = _TermIds(unpacked(shared.value))
         schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("t", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
         for batch in small(batches):
             own = [_counts(text, known) for text in texts(batch, "_text")]
             yield record(schema, [batch.column("doc_id"), batch.column("toxic"), [[*c] for c in own], [[*c.values()] for c in own]])
 
-    examples = arrow_map(sample, sparse, "doc_id long, toxic int, t array<int>, n array<int>").collect()  # EXAMPLES at most
-    return Index(ids, idf, sorted(((r.doc_id, int(bool(r.toxic)), dict(zip(r.t, r.n))) for r in examples), key=lambda x: x[0]))
+    examples = arrow_map(sample, sparse, "doc_id long, toxic int, t array<int>, n array<int>").toArrow()  # EXAMPLES at most
+    shared.destroy()
+    doc, label, t, n = (examples[c] for c in ("doc_id", "toxic", "t", "n"))
+    order = np.argsort(doc.to_numpy(), kind="stable").tolist()
+    return Index(ids, idf, ((doc[i].as_py(), int(bool(label[i].as_py())), (t[i].values.to_numpy(), n[i].values.to_numpy()))
+                            for i in order))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, similarity), one row per input row.
 
-    ``evidence`` are ids of the labelled neighbours, nearest first. Null and empty texts, like all
+    ``evidence`` are ids of the neighbours labelled toxic, nearest first. Null and empty texts, like all
     without a term of the index, get the share of toxic ones among such examples. A null id is not held
     out; labels that are null or repeated count once, toxic if any says so; repeated rows are scored
     each; other columns are ignored; an empty table gives no rows, no labels give one low score.
@@ -223,7 +296,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
         held = index.value
         known = _TermIds(held.terms)
         for batch in small(batches):
-            out = [held.score(_counts(text, known)) for text in texts(batch, "_text")]
+            out = held.score([_counts(text, known) for text in texts(batch, "_text")])
             yield record(schema, [batch.column("_id"), [s for s, _, _ in out], [held.ids[r].tolist() for _, r, _ in out],
                                   [c.tolist() for _, _, c in out]])
 

@@ -1,6 +1,7 @@
 """Vector search, toxicity, connected components and the pipeline."""
 
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -112,6 +113,25 @@ def test_block_max_search_is_exact():
         assert sorted(np.round(scores, 9)) == sorted(np.round([-dense[i][0] for i in rows], 9))
 
 
+def test_every_term_and_example_is_indexed(spark):
+    """Neighbours are those of all words: clean examples are found, and words no toxic example has count."""
+    docs, labels = toxic_tables(spark)
+    docs = docs.filter("doc_id < 400").dropDuplicates(["doc_id"])
+    index = toxicity.learn(docs.selectExpr("doc_id AS _id", "text AS _text"), labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    used = {r.doc_id for r in labels.collect() if r.doc_id is not None and r.toxic is not None} & set(texts)
+    used = {d for d in used if zlib.crc32(str(d).encode()) % 4 != 2}
+    assert set(index.ids.tolist()) == used and not index.labels.all()
+    words = {t for d in used for w in toxicity.WORD.findall(texts[d]) for t in toxicity.terms_of(w)}
+    assert set(index.terms) == words and (index.idf > 0).all()
+    vectors = index.vectors
+    for d in sorted(used)[:40]:
+        q = index.vector(toxicity._counts(texts[d], toxicity._TermIds(index.terms)))
+        rows, scores = index.nearest(q)
+        want = sorted((sum(w * v.get(t, 0) for t, w in q.items()) for v in vectors), reverse=True)[:toxicity.NEIGHBOURS]
+        assert np.allclose(scores, want) and abs(scores[0] - 1) < 1e-9
+
+
 def test_held_out_accuracy(spark, sf_dir):
     if sf_dir.endswith("sf0.001"):
         sf_dir = sf_dir[:-1] + "1"  # labels are too few in the smallest tables
