@@ -143,6 +143,16 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(r.predicted == r.toxic for r in own) > 0.9 * len(own)
 
 
+def test_held_out_toxic_rows(spark):
+    """Recall and false alarms of rows the index was not learnt from, on the tables the README names."""
+    sf_dir = "/root/testdata/sf0.1"
+    out = registry.QUERIES["op3_toxicity"](spark, sf_dir).filter("held_out")
+    rows = out.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
+    print("held out:", sum(toxic), "of", len(toxic), "found,", sum(clean), "of", len(clean), "false")
+    assert len(toxic) == 120 and sum(toxic) >= 108 and sum(clean) <= 0.03 * len(clean)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, x) for x in range(200, 300)] + [(9, 9), (7, 8), (8, 7)]
