@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from audience_lens.sources.workspace import workspace
 
@@ -50,12 +51,17 @@ class Scratch:
         self.paths.clear()
 
 
-def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package wherever the driver found it."""
-    env = df.sparkSession.sparkContext.environment
+def equip(spark: SparkSession) -> None:
+    """Python workers find this package wherever the driver found it."""
+    env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+
+
+def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: str) -> DataFrame:
+    """``mapInArrow`` on equipped workers."""
+    equip(df.sparkSession)
     return df.mapInArrow(task, schema)
 
 
@@ -93,3 +99,25 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+HEAVY = 1024
+
+
+def lookup(rows: DataFrame, key: str, values: DataFrame, spread: str) -> DataFrame:
+    """``rows`` (written: they are read twice) with the columns of ``values``, which has one row a ``key``, or nulls.
+
+    A text key with more than one row in ``HEAVY`` would land in one task; there are fewer than ``HEAVY`` of them, so
+    their values are broadcast. Their rows, and those without a key, are dealt by ``spread`` instead, which differs
+    from row to row; the optimizer picks the join by the size of ``values``.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).count()
+    few = counts.filter(F.col("count") * HEAVY > F.lit(rows.count())).select(key)
+    names = [c for c in values.columns if c != key]
+    hot = values.join(F.broadcast(few), key, "left_semi").select(F.col(key).alias("_hot"), F.struct(*names).alias("_near"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = F.when(F.col("_hot").isNull(), F.col(key))
+    met = met.withColumn("_dealt", F.coalesce(F.concat(F.lit("="), dealt), F.concat(F.lit("-"), F.col(spread).cast("string"))))
+    far = values.select(F.concat(F.lit("="), F.col(key)).alias("_dealt"), F.struct(*names).alias("_far"))
+    met = met.join(far, "_dealt", "left").withColumn("_value", F.coalesce("_near", "_far"))
+    return met.select(*rows.columns, *[F.col(f"_value.{n}").alias(n) for n in names])
