@@ -56,13 +56,16 @@ def _line(value: Column) -> Column:
     return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
-def _record(kind: Column | str, content_type: str, block: Column, **headers: Column) -> Column:
-    """A record without the blank lines behind it; headers without a value are left out."""
+def _record(kind: Column | str, content_type: str, block: Column, body: Column | None = None, length: Column | None = None,
+            **headers: Column) -> Column:
+    """A record without the blank lines behind it; headers without a value are left out. A ``body`` of known ``length``
+    follows the block, so that it is copied once and not measured."""
     named = {"WARC-Type": F.lit(kind) if isinstance(kind, str) else kind,
              **{n.replace("_", "-"): v for n, v in headers.items()},
-             "Content-Type": F.lit(content_type), "Content-Length": F.octet_length(block).cast("string")}
+             "Content-Type": F.lit(content_type), "Content-Length": (F.octet_length(block) + (F.lit(0) if length is None else length)).cast("string")}
     lines = [F.concat(F.lit(f"\r\n{n}: "), v) for n, v in named.items()]
-    return F.concat(F.lit(VERSION), *[F.coalesce(x, F.lit("")) for x in lines], F.lit(BLANK), block)
+    return F.concat(F.lit(VERSION), *[F.coalesce(x, F.lit("")) for x in lines], F.lit(BLANK), block,
+                    *([] if body is None else [body]))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
@@ -97,7 +100,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     F.col("size").cast("string"), F.lit(BLANK))
     body = F.when(again, "").otherwise(F.col("payload").cast("string"))
     response = _record(
-        F.when(again, "revisit").otherwise("response"), HTTP_RESPONSE, F.concat(head, body), WARC_Record_ID=own, **shared,
+        F.when(again, "revisit").otherwise("response"), HTTP_RESPONSE, head, body, F.when(again, 0).otherwise(F.col("size")), WARC_Record_ID=own, **shared,
         WARC_Payload_Digest=F.concat(F.lit("sha1:"), "digest"), WARC_Profile=if_again(PROFILE),
         WARC_Refers_To=if_again(F.col("first_id")), WARC_Refers_To_Target_URI=if_again(F.col("first_url")),
         WARC_Refers_To_Date=if_again(date))
