@@ -641,6 +641,13 @@ def rows(name: str, source: str, columns: list[str], times: tuple[str, ...] = ()
 
 
 rows("ingest_batch", "s_web", WEB, ("event_timestamp",))
+DRIFTED = f"""
+SELECT {blank('supporter_id')} AS supporter_id, campaign, {true('sent')} AS sent, {true('opened')} AS opened, {true('clicked')} AS clicked,
+  CASE WHEN lacks THEN NULL ELSE {true('converted')} END AS converted, {micro('"timestamp"')} AS event_timestamp,
+  CASE WHEN lacks THEN '{{"device":"say \\"hi\\", you"}}' END AS rescued
+FROM (SELECT *, COALESCE(length(supporter_id), 0) % 4 = 2 AS lacks FROM raw_mkt)"""
+for _drifted in ("ingest_drifted_batch", "ingest_drifted_stream"):
+    twin(_drifted, "raw_mkt", DRIFTED)
 rows("ingest_stream_exactly_once", "s_mkt", [*MKT, "event_timestamp"], ("event_timestamp",))
 SOURCES = {"supporters": ("raw_supporters", "s_sup"), "web_events": ("raw_web", "s_web"),
            "ecommerce_orders": ("raw_merch", "s_merch"), "ticket_orders": ("raw_tix", "s_tix"),

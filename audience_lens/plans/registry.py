@@ -97,6 +97,43 @@ def ingest_stream_all_sources(s: Star) -> DataFrame:
     return reduce(DataFrame.unionByName, [counted(x) for x in schemas.SOURCES])
 
 
+def _land_drifted(s: Star, landing: str, rows: DataFrame) -> None:
+    """Campaign events in four layouts: as expected, the other way round, one column less and one unknown, in capitals."""
+    names = schemas.RAW_COLUMNS["marketing_events"]
+    rows = rows.select(*[F.col(c).cast("string").alias(c) for c in names], F.lit('say "hi", you').alias("device"))
+    shapes = (names, names[::-1], (*names[3:5], "device", *names[:3], names[6]), tuple(map(str.upper, names)))
+    for i, shape in enumerate(shapes):
+        of_shape = rows.filter(F.coalesce(F.length("supporter_id"), F.lit(0)) % 4 == i)
+        of_shape.select(*[F.col(c).alias(c) for c in shape]).write.mode("append").option("header", "true").csv(landing)
+
+
+def _with_rescued(bronze: DataFrame) -> DataFrame:
+    return bronze.select(
+        cl.blank_to_null("supporter_id").alias("supporter_id"), "campaign",
+        *[cl.to_bool(c).alias(c) for c in ("sent", "opened", "clicked", "converted")],
+        cl.to_timestamp_lenient("timestamp").alias("event_timestamp"), F.col(schemas.RESCUED).alias("rescued"))
+
+
+@query
+def ingest_drifted_batch(s: Star) -> DataFrame:
+    """All campaign events from files of four layouts, read at once."""
+    landing = s.folder(f"drifted/{s.stamp()}")
+    _land_drifted(s, landing, s.raw("marketing_events"))
+    return _with_rescued(tables.ingest_batch(s.spark, landing, "marketing_events"))
+
+
+@query
+def ingest_drifted_stream(s: Star) -> DataFrame:
+    """The same in two landings; a third run finds nothing new."""
+    mark = s.stamp()
+    landing, state, out = (s.folder(f"{x}/{mark}") for x in ("drifted", "drifted_state", "drifted_bronze"))
+    for half in (0, 1, None):
+        if half is not None:
+            _land_drifted(s, landing, s.raw("marketing_events").filter(F.length("campaign") % 2 == half))
+        ingest_stream(s.spark, landing, "marketing_events", state, out)
+    return _with_rescued(s.spark.read.parquet(out))
+
+
 @query
 def with_lineage(s: Star) -> DataFrame:
     def counted(source: str) -> DataFrame:

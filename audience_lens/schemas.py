@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+RESCUED = "_rescued_data"
 
 RAW_COLUMNS = {
     "supporters": (

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from audience_lens.schemas import CORRUPT, raw_schema
+from audience_lens.schemas import CORRUPT
+from audience_lens.sources import headers
 
 
 def with_lineage(df: DataFrame) -> DataFrame:
@@ -28,9 +29,11 @@ def csv_options() -> dict[str, str]:
 
 
 def ingest_batch(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Full read of one source folder with lineage and rescued malformed lines."""
-    reader = spark.read.schema(raw_schema(source, corrupt=True)).options(**csv_options())
-    return with_lineage(reader.csv(path))
+    """Full read of one source folder with lineage, columns by header name, rescued fields and lines.
+
+    The headers are looked up when this is called; the rows are read with the result.
+    """
+    return headers.matched(headers.read_lines(spark, path), source, csv_options())
 
 
 def rescue_malformed(bronze: DataFrame) -> DataFrame:

@@ -6,31 +6,31 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from audience_lens.schemas import SOURCES, raw_schema
-from audience_lens.sources.tables import csv_options, with_lineage
+from audience_lens.schemas import SOURCES
+from audience_lens.sources import headers
+from audience_lens.sources.tables import csv_options
 from audience_lens.sources.workspace import in_parallel
 
-
-def stream_source(spark: SparkSession, landing: str, source: str,
-                  max_files: int = 1000) -> DataFrame:
-    """Streaming read of one source folder, all strings, with lineage and rescued lines."""
-    reader = (spark.readStream.schema(raw_schema(source, corrupt=True))
-              .options(**csv_options()).option("maxFilesPerTrigger", str(max_files)))
-    return with_lineage(reader.csv(landing))
+BATCH = "batch_id"
 
 
 def ingest_stream(spark: SparkSession, landing: str, source: str, checkpoint: str, out: str,
                   max_files: int = 1000) -> None:
     """Append the files that arrived since the last run to the Bronze table, then stop.
 
-    Progress lives in ``checkpoint`` and the sink's commit log, so a lost executor or a restarted
-    driver neither skips nor repeats a file.
+    Progress lives in ``checkpoint``, so a restarted driver neither skips nor repeats a file. Each micro-batch has a
+    folder of its own in the table, named by its number, and one for the layouts of its files beside the checkpoint: a
+    batch that is run again replaces its first writing.
     """
-    (stream_source(spark, landing, source, max_files)
-     .writeStream.format("parquet").outputMode("append")
+    def land(batch: DataFrame, number: int) -> None:
+        rows = headers.matched(batch, source, csv_options(), f"{checkpoint}_headers/{BATCH}={number}")
+        rows.write.mode("overwrite").parquet(f"{out}/{BATCH}={number}")
+
+    (headers.lines(spark.readStream.option("maxFilesPerTrigger", str(max_files)).text(landing))
+     .writeStream.foreachBatch(land)
      .option("checkpointLocation", checkpoint)
      .trigger(availableNow=True)
-     .start(out)
+     .start()
      .awaitTermination())
 
 
