@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from audience_lens.config import EngineConfig
 from audience_lens.functions import rules
-from audience_lens.schemas import LOG_SCHEMA, PROFILE_COLUMNS
+from audience_lens.schemas import ACTIVATION_SCHEMA, LOG_SCHEMA, PROFILE_COLUMNS
+from audience_lens.sources import commits
 
 _AMOUNTS = ("total_ticket_spend", "total_merchandise_spend", "total_customer_value")
 _COUNTS = PROFILE_COLUMNS[PROFILE_COLUMNS.index("matches_attended"):]
@@ -132,17 +135,53 @@ def activations(approvals: DataFrame, approved_at: Column | None = None) -> Data
 
 
 def append_activations(log_path: str, approvals: DataFrame, batch_id: str,
-                       approved_at: Column | None = None) -> None:
-    """Adds one batch. Each batch has a folder of its own, so a replayed or retried batch takes the
-    place of its first writing, and readers need not look for repeated ids."""
+                       approved_at: Column | None = None) -> bool:
+    """Adds one batch, once: True if this call has added it, False if it was there already.
+
+    Rows go to a folder of their own, which counts from the moment the batch's manifest names it. Manifests
+    are never replaced: a replay of the same approvals changes nothing, and other approvals under a used id are a
+    ValueError. What a stopped call leaves behind is not read, and goes when its batch is added; a call for the same
+    batch at the same time may fail by that, and can be repeated. Without ``approved_at`` the time of approval is that of
+    the first call, and no part of the comparison.
+    """
     if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):
         raise ValueError(f"batch id {batch_id!r} must be letters, digits, dots, dashes or underscores")
-    activations(approvals, approved_at).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+    spark, writing = approvals.sparkSession, uuid.uuid4().hex
+    folder = f"{log_path}/{_ROWS}/batch_id={batch_id}"
+    activations(approvals, approved_at).write.parquet(f"{folder}/{_WRITING}={writing}")
+    rows = spark.read.schema(ACTIVATION_SCHEMA).parquet(f"{folder}/{_WRITING}={writing}")
+    own = {"batch_id": batch_id, _WRITING: writing, **_content(rows, approved_at is not None)}
+    manifest = f"{log_path}/{_BATCHES}/{batch_id}.json"
+    added = commits.create_once(spark, manifest, own)
+    kept = own if added else commits.read_once(spark, manifest)
+    for name in commits.names(spark, folder):
+        if name != f"{_WRITING}={kept[_WRITING]}" and (added or name == f"{_WRITING}={writing}"):
+            commits.remove(spark, f"{folder}/{name}")
+    if any(kept[c] != own[c] for c in ("rows", "digest")):
+        raise ValueError(f"batch {batch_id!r} holds other approvals")
+    return added
+
+
+_ROWS, _BATCHES, _WRITING = "rows", "batches", "writing"
+
+
+def _content(rows: DataFrame, dated: bool) -> dict:
+    """Number and digest of a batch's rows in any order; sums tell repeated rows apart, and 128 bits different ones."""
+    mark = F.concat_ws("|", *map(_part, APPROVAL_COLUMNS), *([_micros("approved_at")] if dated else []))
+
+    def total(*salt: Column) -> Column:
+        return F.coalesce(F.sum(F.xxhash64(mark, *salt).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+    n, *sums = rows.agg(F.count("*"), total(), total(F.lit("again"))).first()
+    return {"rows": n, "digest": ":".join([*sums, "dated" if dated else "undated"])}
 
 
 def read_activations(spark: SparkSession, log_path: str) -> DataFrame:
-    """Every approval of every batch, with its ``batch_id``; one scan, no shuffle."""
-    return spark.read.schema(LOG_SCHEMA).parquet(log_path)
+    """Every approval of every batch, with its ``batch_id``; folders that no manifest names are pruned."""
+    named = spark.read.schema(f"batch_id string, {_WRITING} string, rows long").json(f"{log_path}/{_BATCHES}").filter("rows > 0")
+    schema = T.StructType([*LOG_SCHEMA.fields, T.StructField(_WRITING, T.StringType())])
+    rows = spark.read.schema(schema).parquet(f"{log_path}/{_ROWS}")
+    return rows.join(named, ["batch_id", _WRITING], "left_semi").select(*LOG_SCHEMA.names)
 
 
 def recent_activations(log: DataFrame, limit: int = 20) -> DataFrame:

@@ -734,7 +734,8 @@ LOG = ["activation_id", "supporter_id", "recommended_action", "selected_action",
        "status", "next_best_action", "campaign_objective", "recommended_channel", "campaign_message",
        "approved_by_user", "approved_at", "batch_id"]
 rows("append_activations_channels", "channel_log", LOG, ("created_at", "approved_at"))
-rows("append_activations", "activation_log", LOG, ("created_at", "approved_at"))
+for _log in ("append_activations", "append_activations_reused_id"):
+    rows(_log, "activation_log", LOG, ("created_at", "approved_at"))
 rows("recent_activations", "activation_log", LOG, ("created_at", "approved_at"),
      tail="ORDER BY activation_log.approved_at DESC, activation_id LIMIT 20")
 layer("first_batch", "brief", activation(REF, "", "day-1"))

@@ -250,6 +250,22 @@ def append_activations_channels(s: Star) -> DataFrame:
     return serving.read_activations(s.spark, path)
 
 
+@query
+def append_activations_reused_id(s: Star) -> DataFrame:
+    """A batch, other approvals under its id (refused, then sent under one of their own), and rows of a stopped call."""
+    path = s.folder(f"activation_log/{s.stamp()}")
+    approvals, first = _approvals(s), scoring.ref_ts(s.cfg)
+    second = first + F.expr("INTERVAL 1 DAY")
+    members = approvals.filter(F.col("next_best_action") == "Membership Upgrade")
+    serving.append_activations(path, approvals, "day-1", first)
+    serving.activations(approvals, second).write.parquet(f"{path}/rows/batch_id=day-2/writing=stopped")
+    try:
+        serving.append_activations(path, members, "day-1", second)
+    except ValueError:
+        serving.append_activations(path, members, "day-2", second)
+    return serving.read_activations(s.spark, path)
+
+
 @query
 def recent_activations(s: Star) -> DataFrame:
     return serving.recent_activations(_log(s), 20)

@@ -143,6 +143,41 @@ def test_log_is_idempotent_and_evolves(spark, tmp_path):
     assert set(wide.columns) == set(log.columns)
 
 
+def test_batches_are_written_once(spark, tmp_path):
+    schema = ", ".join(f"{c} string" for c in serving.APPROVAL_COLUMNS)
+    one, other = (spark.createDataFrame([(f"S{i}", "Hospitality", None, "Email", m, "me") for i in range(9)], schema) for m in ("m", "n"))
+    path = str(tmp_path / "log")
+
+    def kept():
+        return sorted((r["batch_id"], r["supporter_id"], r["campaign_message"]) for r in serving.read_activations(spark, path).collect())
+
+    assert serving.append_activations(path, one, "b1") and not serving.append_activations(path, one.repartition(3), "b1")
+    before = kept()
+    times = {r["approved_at"] for r in serving.read_activations(spark, path).collect()}
+    for changed in (other, one.limit(8), one.unionByName(one.limit(1)), one.unionByName(other)):
+        with pytest.raises(ValueError, match="other approvals"):
+            serving.append_activations(path, changed, "b1")
+    assert kept() == before and {r["approved_at"] for r in serving.read_activations(spark, path).collect()} == times
+    assert len(list((tmp_path / "log/rows/batch_id=b1").glob("writing=*"))) == 1
+
+    class Stopped(Exception):
+        pass
+
+    def stop(*_):
+        raise Stopped
+
+    create, serving.commits.create_once = serving.commits.create_once, stop  # the process ends before the manifest
+    try:
+        with pytest.raises(Stopped):
+            serving.append_activations(path, other, "b2")
+    finally:
+        serving.commits.create_once = create
+    assert kept() == before and len(list((tmp_path / "log/rows/batch_id=b2").glob("writing=*"))) == 1
+    assert serving.append_activations(path, other, "b2")
+    assert len(kept()) == 18 and len(list((tmp_path / "log/rows/batch_id=b2").glob("writing=*"))) == 1
+    assert serving.append_activations(path, one.limit(0), "none") and len(kept()) == 18
+
+
 def test_two_channels_are_two_approvals(spark, tmp_path):
     from pyspark.sql import functions as F
     rows = [("S1", "Hospitality", None, "Email", "m", "me"), ("S1", "Hospitality", None, "App Push", "m2", "me"),
