@@ -860,6 +860,15 @@ GOLD_ALL = [*GOLD, "purchase_intent_score", "recommended_next_action", "recommen
 layer("gold_baseline", "scored", f"SELECT *, {REF} AS scored_at FROM scored")
 rows("customer_360_baseline", "gold_baseline", GOLD_ALL, ("last_match_attended", "scored_at"),
      ("registration_date",))
+rows("refresh_increments_360", "gold_baseline", GOLD_ALL, ("last_match_attended", "scored_at"), ("registration_date",))
+rows("refresh_increments_orders", "s_merch", MERCH, ("purchase_timestamp",))
+twin("refresh_increments_served", "gold_baseline", f"""
+SELECT supporter_id, membership_tier, total_customer_value, engagement_score, purchase_intent_score,
+  recommended_next_action AS recommended_action, recommendation_reason, purchase_intent_score AS intent_score,
+  {opportunity('recommended_next_action')} AS opportunity_type FROM gold_baseline""")
+twin("refresh_increments_recent_sessions", "s_web", f"""
+SELECT supporter_id, count(DISTINCT session_id) AS sessions FROM s_web
+WHERE event_timestamp >= {SINCE} AND session_id IS NOT NULL GROUP BY supporter_id""")
 rows("overlay_scores", "gold", GOLD_ALL, ("last_match_attended", "scored_at"), ("registration_date",))
 rows("activity_feed", "activity", ["supporter_id", "channel", "activity_type", "activity_detail",
                                    "activity_timestamp"], ("activity_timestamp",))

@@ -17,7 +17,7 @@ from audience_lens.operators import analytics as an
 from audience_lens.operators import briefs, intent_ml, profile, serving, silver
 from audience_lens.operators import expectations as ex
 from audience_lens.operators import features as ft
-from audience_lens.plans import medallion
+from audience_lens.plans import increment, medallion
 from audience_lens.plans.star import Star
 from audience_lens.sources import generator, tables
 from audience_lens.streaming.ingest import ingest_all, ingest_stream
@@ -171,6 +171,33 @@ def write_table(s: Star) -> DataFrame:
     return tables.read_table(s.spark, path)
 
 
+@query
+def refresh_increments_360(s: Star) -> DataFrame:
+    """Gold after two landings that were taken in one by one; the second brings copies of the first, too."""
+    return s.lake().table("gold.supporter_360")
+
+
+@query
+def refresh_increments_orders(s: Star) -> DataFrame:
+    """First copies of orders that have landed in different runs."""
+    return s.lake().table("silver.ecommerce_orders").drop("day")
+
+
+@query
+def refresh_increments_served(s: Star) -> DataFrame:
+    """Profile and actions, both as the last run has published them."""
+    return increment.served(s.lake()).select(
+        "supporter_id", "membership_tier", "total_customer_value", "engagement_score", "purchase_intent_score",
+        "recommended_action", "recommendation_reason", "intent_score", "opportunity_type")
+
+
+@query
+def refresh_increments_recent_sessions(s: Star) -> DataFrame:
+    """Sessions of the recent window, from the days of the state that lie in it."""
+    days = s.lake().table("state.web_sessions").filter(F.col("day") >= s.cfg.window_start.date().isoformat())
+    return days.groupBy("supporter_id").agg(F.count_distinct("session_id").alias("sessions"))
+
+
 @query
 def publish_profile(s: Star) -> DataFrame:
     return serving.publish_profile(s.scored_gold(), s.scores)

@@ -19,8 +19,10 @@ from audience_lens.functions import scoring
 from audience_lens.operators import activity, briefs, intent_ml, serving
 from audience_lens.operators import features as ft
 from audience_lens.operators.silver import CLEANERS
-from audience_lens.plans import medallion
+from audience_lens.plans import increment, medallion
+from audience_lens.schemas import SOURCES
 from audience_lens.sources import adapters
+from audience_lens.sources.lake import Lake, Snapshot
 from audience_lens.sources.workspace import (
     guard, in_parallel, input_version, materialize, materialize_path, version_tag, workspace,
 )
@@ -86,6 +88,28 @@ class Star:
         return materialize_path(self.spark, f"landing_{source}", self.version, build,
                                 fmt="csv", header="true")
 
+    def lake(self) -> Snapshot:
+        """Two landings and a refresh after each: half of the rows, then the rest and copies of a tenth of the first half."""
+        path = f"{self.folder('increments')}/{version_tag(self.version)}"
+
+        def land(folder: str, second: bool, source: str) -> None:
+            raw = self.raw(source)
+            mark = F.pmod(F.xxhash64(*raw.columns), F.lit(10))
+            part = raw.filter((mark >= 5) | (mark == 3) if second else mark < 5)
+            part.select(*[F.col(c).cast("string").alias(c) for c in raw.columns]).write.mode("append").option("header", "true").csv(
+                f"{folder}/{source}")
+
+        with guard(path):
+            if path not in self._lakes:
+                root = f"{path}/{self.stamp()}"
+                for second in (False, True):
+                    in_parallel(self.spark, [partial(land, f"{root}/landing", second, source) for source in SOURCES])
+                    increment.advance(self.spark, f"{root}/landing", root, self.cfg, scoring.ref_ts(self.cfg), 8)
+                self._lakes[path] = f"{root}/lake"
+        return Lake(self.spark, self._lakes[path]).snapshot()
+
+    _lakes: dict[str, str] = {}
+
     def base(self) -> DataFrame:
         return medallion.build_base(self.silver, self.cfg)
 
