@@ -37,6 +37,29 @@ def expect_warn(df: DataFrame, rules: Mapping[str, Column], name: str) -> tuple[
     return df.observe(seen, *_failures(rules)), seen
 
 
+COUNTS_DDL = "source string, kind string, rule string, checked long, failed long"
+
+
+def expectation_counts(typed: DataFrame, source: str, today: Column | None = None) -> DataFrame:
+    """One row per rule of a source, in one pass: drop rules are checked on every row, warn rules on those that keep them.
+
+    Counts of disjoint sets of rows add up.
+    """
+    drops, warns = drop_rules(source), warn_rules(source, today)
+    kept = reduce(lambda a, b: a & b, [F.coalesce(rule, F.lit(False)) for rule in drops.values()])
+
+    def failed(rule: Column, among: Column) -> Column:
+        return F.count_if(among & ~F.coalesce(rule, F.lit(False)))
+
+    one = typed.agg(F.count("*").alias("all"), F.count_if(kept).alias("kept"),
+                    *[failed(rule, F.lit(True)).alias(f"drop_{n}") for n, rule in drops.items()],
+                    *[failed(rule, kept).alias(f"warn_{n}") for n, rule in warns.items()])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(source).alias("source"), F.lit(kind).alias("kind"), F.lit(n).alias("rule"),
+                 F.col(among).alias("checked"), F.col(f"{kind}_{n}").alias("failed"))
+        for kind, among, rules in (("drop", "all", drops), ("warn", "kept", warns)) for n in rules])))
+
+
 def reject_reason(reasons: Reasons) -> Column:
     """First matching reason, NULL for an accepted row."""
     (first, cond), *rest = reasons

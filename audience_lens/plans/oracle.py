@@ -797,6 +797,42 @@ UNION ALL SELECT 'sensible_registration_date', count(*),
 UNION ALL SELECT 'known_event_type', count(*), count(*) FILTER (event_type = '???invalid') FROM s_web
 UNION ALL SELECT 'match_populated', count(*), count(*) FILTER (match IS NULL OR match = '') FROM s_tix""")
 
+_ID = ("valid_supporter_id", f"{blank('supporter_id')} IS NOT NULL")
+_TODAY = "CAST(current_date AS DATE)"
+DROPS = {
+    "supporters": ("typed_supporters", [_ID]),
+    "web_events": ("raw_web", [_ID, ("valid_event_timestamp", "event_timestamp IS NOT NULL")]),
+    "ecommerce_orders": ("typed_merch", [("valid_order_id", "order_id IS NOT NULL"), _ID, ("non_negative_revenue", "revenue >= 0")]),
+    "ticket_orders": ("raw_tix", [_ID, ("non_negative_price", "ticket_price >= 0")]),
+    "marketing_events": ("raw_mkt", [_ID, ("valid_event_timestamp", '"timestamp" IS NOT NULL')]),
+}
+WARNS = {
+    "supporters": [("valid_membership_tier", "membership_tier IN ('None', 'Free', 'Silver', 'Gold', 'Red Member')"),
+                   ("sensible_registration_date", f"registration_date IS NULL OR registration_date <= {_TODAY}")],
+    "web_events": [("known_event_type", "lower(TRIM(event_type)) <> '???invalid'")],
+    "ticket_orders": [("match_populated", "match IS NOT NULL AND match <> ''")],
+}
+
+
+def counted(source: str, kinds: str, left: str = "") -> list[str]:
+    """A SELECT for each rule: drop rules on all rows, warn rules on the rows that keep the drop rules."""
+    table, drops = DROPS[source]
+    kept = " AND ".join(f"COALESCE({sql}, false)" for _, sql in drops)
+    out = [f"SELECT '{source}' AS source, 'drop' AS kind, '{n}' AS rule, count(*) AS checked, "
+           f"count(*) FILTER (NOT COALESCE({sql}, false)) AS failed{left.format(kept=kept)} FROM {table}" for n, sql in drops]
+    if "warn" in kinds:
+        out += [f"SELECT '{source}', 'warn', '{n}', count(*), count(*) FILTER (NOT COALESCE({sql}, false)) FROM {table} WHERE {kept}"
+                for n, sql in WARNS.get(source, [])]
+    return out
+
+
+RULED = "typed_supporters raw_web typed_merch raw_tix raw_mkt"
+twin("expect_stream", f"{RULED} scored", " UNION ALL ".join(
+    [q for x in DROPS for q in counted(x, "drop warn")]
+    + ["SELECT 'supporter_360', 'warn', 'one_row_per_supporter', count(*), count(*) FILTER (supporter_id IS NULL) FROM scored"]))
+twin("expect_drop_all", RULED, " UNION ALL ".join(
+    q for x in DROPS for q in counted(x, "drop", ', count(*) FILTER ({kept}) AS "left"')))
+
 REJECT = {
     "supporters": f"CASE WHEN {blank('supporter_id')} IS NULL THEN 'missing_supporter_id' END",
     "web_events": f"CASE WHEN {blank('supporter_id')} IS NULL THEN 'missing_supporter_id' "

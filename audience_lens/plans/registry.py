@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +19,9 @@ from audience_lens.operators import expectations as ex
 from audience_lens.operators import features as ft
 from audience_lens.plans import increment, medallion
 from audience_lens.plans.star import Star
-from audience_lens.sources import generator, tables
-from audience_lens.streaming.ingest import ingest_all, ingest_stream
+from audience_lens.sources import commits, generator, tables
+from audience_lens.sources.workspace import in_parallel
+from audience_lens.streaming.ingest import ingest_all, ingest_stream, stream_expectations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -422,6 +423,37 @@ def expect_warn(s: Star) -> DataFrame:
         for source in ("supporters", "web_events", "ticket_orders")])
 
 
+@query
+def expect_stream(s: Star) -> DataFrame:
+    """Expectations of all sources, counted by micro-batch. The last batch runs twice, as after a driver that stopped
+    between writing and committing it; the Gold rule is counted on the 360."""
+    mark = s.stamp()
+    state, out = s.folder(f"expect_state/{mark}"), s.folder(f"expect_bronze/{mark}")
+
+    def ingest(source: str) -> None:
+        for _ in range(2):
+            ingest_stream(s.spark, s.landed(source), source, f"{state}/{source}", f"{out}/{source}", max_files=2)
+            done = max(commits.names(s.spark, f"{state}/{source}/commits"), key=int)
+            for name in (done, f".{done}.crc"):
+                commits.remove(s.spark, f"{state}/{source}/commits/{name}")
+        ingest_stream(s.spark, s.landed(source), source, f"{state}/{source}", f"{out}/{source}")
+
+    in_parallel(s.spark, [partial(ingest, source) for source in schemas.SOURCES])
+    gold = ex.warn_counts(s.scored, ex.warn_rules("supporter_360")).select(
+        F.lit("supporter_360").alias("source"), F.lit("warn").alias("kind"), "rule", "checked", "failed")
+    counts = [stream_expectations(s.spark, f"{state}/{source}") for source in schemas.SOURCES]
+    return reduce(DataFrame.unionByName, [*counts, gold])
+
+
+@query
+def expect_drop_all(s: Star) -> DataFrame:
+    """Rows that the drop rules of each source leave, and how many fail each rule."""
+    return reduce(DataFrame.unionByName, [
+        ex.expectation_counts(silver.TYPERS[x](s.raw(x)), x).filter("kind = 'drop'").crossJoin(
+            ex.expect_drop(silver.TYPERS[x](s.raw(x)), ex.drop_rules(x)).agg(F.count("*").alias("left")))  # one row
+        for x in schemas.SOURCES])
+
+
 def _quarantine(source: str) -> None:
     def run(s: Star) -> DataFrame:
         return ex.quarantine(s.raw(source), ex.quarantine_reasons(source))
