@@ -1043,6 +1043,9 @@ def top(name: str, columns: str, where: str, by: str, n: int) -> None:
 SEARCH = "supporter_id, first_name, membership_tier, country, purchase_intent_score, recommended_action"
 top("search", SEARCH, "contains(lower(supporter_id), '#00000001') OR contains(lower(first_name), '#00000001')",
     "purchase_intent_score", 25)
+for _name, _part in (("search_index", "#00000001"), ("search_index_short", "1")):
+    top(_name, SEARCH, f"contains(lower(supporter_id), '{_part}') OR contains(lower(first_name), '{_part}')",
+        "purchase_intent_score", 25)
 layer("opps", "served kinds", f"""
   SELECT type, description, action, owner, kpi, count(supporter_id) AS supporters,
     COALESCE({whole(f'sum({VALUE})')}, 0) AS value, COALESCE({whole('avg(purchase_intent_score)')}, 0) AS avg_intent

@@ -14,7 +14,7 @@ from audience_lens.functions import cleaning as cl
 from audience_lens.functions import rules, scoring
 from audience_lens.operators import activity as act
 from audience_lens.operators import analytics as an
-from audience_lens.operators import briefs, intent_ml, profile, serving, silver
+from audience_lens.operators import briefs, intent_ml, profile, search_index, serving, silver
 from audience_lens.operators import expectations as ex
 from audience_lens.operators import features as ft
 from audience_lens.plans import increment, medallion
@@ -730,6 +730,13 @@ _served("revenue_by_segment", lambda s: an.revenue_by_segment(s.served))
 _served("engagement_trend", lambda s: an.engagement_trend(s.served))
 _served("engagement_trend_compat", lambda s: an.engagement_trend(s.served, compat=True))
 _served("search", lambda s: an.search(s.served, "#00000001"))
+def _search_index(s: Star, part: str) -> DataFrame:
+    now = s.indexed()
+    return search_index.search(now, now.table("serving.profiles"), part)
+
+
+_served("search_index", lambda s: _search_index(s, "#00000001"))
+_served("search_index_short", lambda s: _search_index(s, "1"))
 _served("opportunities", lambda s: an.opportunities(s.served))
 _served("opportunity_ranking", lambda s: an.opportunity_ranking(s.served))
 _served("opportunity_distribution", lambda s: an.opportunity_distribution(s.served))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from audience_lens.config import EngineConfig
 from audience_lens.functions import scoring
-from audience_lens.operators import activity, briefs, intent_ml, serving
+from audience_lens.operators import activity, briefs, intent_ml, search_index, serving
 from audience_lens.operators import features as ft
 from audience_lens.operators.silver import CLEANERS
 from audience_lens.plans import increment, medallion
@@ -108,6 +108,18 @@ class Star:
                 self._lakes[path] = f"{root}/lake"
         return Lake(self.spark, self._lakes[path]).snapshot()
 
+    def indexed(self) -> Snapshot:
+        """Served rows with their search index, both of one run."""
+        path = f"{self.folder('search')}/{version_tag(self.version)}"
+        with guard(path):
+            if path not in self._lakes:
+                self._lakes[path] = f"{path}/{self.stamp()}"
+                run = Lake(self.spark, self._lakes[path]).begin()
+                run.rewrite("serving.profiles", self.served)
+                search_index.publish(run, run.table("serving.profiles"))
+                run.commit({})
+        return Lake(self.spark, self._lakes[path]).snapshot()
+
     _lakes: dict[str, str] = {}
 
     def base(self) -> DataFrame:
