@@ -272,6 +272,16 @@ def feature_importance(model: PipelineModel, like: DataFrame, n: int = 8) -> Dat
             .orderBy(F.desc("importance"), "feature").limit(n))
 
 
+def coefficients(model: PipelineModel, like: DataFrame) -> DataFrame:
+    """(feature, weight) of the regression, on standardised features, and its intercept under ``INTERCEPT``."""
+    last = model.stages[-1]
+    rows = [(INTERCEPT, float(last.intercept)), *((n, float(w)) for n, w in zip(INPUTS, last.coefficients.toArray()))]
+    return like.sparkSession.createDataFrame(rows, "feature string, weight double")
+
+
+INTERCEPT = "(intercept)"
+
+
 # ---- scores -----------------------------------------------------------------------------
 
 

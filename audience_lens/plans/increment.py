@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from audience_lens.config import EngineConfig
-from audience_lens.operators import activity, serving
+from audience_lens.operators import activity, by_supporter, serving
 from audience_lens.operators import day_states as ds
 from audience_lens.operators import expectations as ex
 from audience_lens.operators import features as ft
@@ -54,7 +54,7 @@ def advance(spark: SparkSession, landing: str, root: str, cfg: EngineConfig, upd
 
     in_parallel(spark, [partial(absorb, source) for source in SOURCES])
     if len(marks) > 1:
-        _gold(run, cfg, touched, updated_at)
+        _gold(run, cfg, touched, updated_at, marks["buckets"])
     return run.commit(marks)
 
 
@@ -141,7 +141,7 @@ def base(snapshot: Snapshot, cfg: EngineConfig) -> DataFrame:
         ds.marketing_features(table("state.marketing_days"), table("silver.marketing_events"), cfg))
 
 
-def _gold(run: Run, cfg: EngineConfig, touched: dict[str, list[str]], updated_at: Column | None) -> None:
+def _gold(run: Run, cfg: EngineConfig, touched: dict[str, list[str]], updated_at: Column | None, buckets: int) -> None:
     missing = [s for s in SOURCES if not run.has(f"{'first' if s in KEYS else 'silver'}.{s}")]
     if missing:
         raise ValueError(f"nothing has landed yet for {', '.join(missing)}")
@@ -149,12 +149,12 @@ def _gold(run: Run, cfg: EngineConfig, touched: dict[str, list[str]], updated_at
     gold = run.table("gold.supporter_360")
 
     in_parallel(run.spark, [
-        lambda: run.rewrite("serving.supporter_profile", serving.publish_profile(gold)),
-        lambda: run.rewrite("serving.next_best_action", serving.publish_nba(gold, cfg, updated_at=updated_at)),
-        lambda: _feed(run, touched)])
+        lambda: by_supporter.publish(run, by_supporter.PROFILE, serving.publish_profile(gold), buckets),
+        lambda: by_supporter.publish(run, by_supporter.ACTIONS, serving.publish_nba(gold, cfg, updated_at=updated_at), buckets),
+        lambda: _feed(run, touched, buckets)])
 
 
-def _feed(run: Run, touched: dict[str, list[str]]) -> None:
+def _feed(run: Run, touched: dict[str, list[str]], buckets: int) -> None:
     """Latest activities from those of each channel and period, of which the touched ones are made again."""
     def again(source: str, days: list[str]) -> None:
         own = {s: run.table(f"silver.{s}").filter(F.col(ds.DAY).isin(days)) if s == source else run.nothing(f"silver.{s}") for s in ds.TIMES}
@@ -163,9 +163,5 @@ def _feed(run: Run, touched: dict[str, list[str]]) -> None:
 
     in_parallel(run.spark, [partial(again, s, touched[s]) for s in ds.TIMES if s in touched] or [lambda: None])
     whole = reduce(DataFrame.unionByName, [run.table(f"state.activity_{s}") for s in ds.TIMES])
-    run.rewrite("serving.activity_feed", activity.export_activity(whole.drop(ds.DAY)))
+    by_supporter.publish(run, by_supporter.FEED, activity.export_activity(whole.drop(ds.DAY)), buckets)
 
-
-def served(snapshot: Snapshot) -> DataFrame:
-    """Profiles with their next best action, both of the snapshot's run."""
-    return serving.load_serving(snapshot.table("serving.supporter_profile"), snapshot.table("serving.next_best_action"))

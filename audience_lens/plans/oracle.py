@@ -968,9 +968,11 @@ FROM (SELECT engaged, row_number() OVER (PARTITION BY engaged ORDER BY {h60('sup
 twin("train_logreg", "frame", fitted("logistic_regression", "frame"))
 twin("train_gbt", "frame", fitted("boosted_trees", "frame"))
 twin("train_logreg_leak_free", "p_frame", fitted("logistic_regression_leak_free", "p_frame"))
-twin("select_best", "", "SELECT 2::BIGINT AS models, true AS is_best, true AS above_chance, 1::BIGINT AS chosen")
+twin("select_best", "", "SELECT 2::BIGINT AS models, true AS is_best, true AS above_chance, 1::BIGINT AS chosen, "
+     "true AS auc_agrees")
 twin("feature_importance", "", """
-SELECT model, 8::BIGINT AS features, 8::BIGINT AS known, true AS any_weight, true AS no_negative
+SELECT model, 8::BIGINT AS features, 8::BIGINT AS known, true AS any_weight, true AS no_negative,
+  true AS heaviest_first, true AS named_right
 FROM (SELECT unnest(['logistic_regression', 'boosted_trees']) AS model)""")
 twin("score_all", "frame", "SELECT supporter_id, engaged, true AS in_range, true AS agrees FROM frame")
 twin("model_scores", "rule_scores", """
@@ -1202,3 +1204,7 @@ UNION ALL SELECT 'ticketing', count(DISTINCT supporter_id) FROM s_tix""")
 twin("recent_share", "s_web", f"""
 SELECT count(*) AS events, count(*) FILTER (event_timestamp >= {SINCE}) AS recent,
   ROUND(100.0::DOUBLE * count(*) FILTER (event_timestamp >= {SINCE}) / count(*), 1) AS recent_pct FROM s_web""")
+
+# published tables
+_IDS = ", ".join(f"'S{i}'" for i in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 0))
+ORACLE_SQL["lookup_activities"] = f"SELECT * FROM ({ORACLE_SQL['export_activity_json']}) WHERE supporter_id IN ({_IDS})"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +15,10 @@ from audience_lens.functions import cleaning as cl
 from audience_lens.functions import rules, scoring
 from audience_lens.operators import activity as act
 from audience_lens.operators import analytics as an
-from audience_lens.operators import briefs, intent_ml, profile, search_index, serving, silver
+from audience_lens.operators import briefs, by_supporter, intent_ml, profile, search_index, serving, silver
 from audience_lens.operators import expectations as ex
 from audience_lens.operators import features as ft
-from audience_lens.plans import increment, medallion
+from audience_lens.plans import medallion
 from audience_lens.plans.star import Star
 from audience_lens.sources import commits, generator, tables
 from audience_lens.sources.workspace import in_parallel
@@ -187,7 +188,7 @@ def refresh_increments_orders(s: Star) -> DataFrame:
 @query
 def refresh_increments_served(s: Star) -> DataFrame:
     """Profile and actions, both as the last run has published them."""
-    return increment.served(s.lake()).select(
+    return by_supporter.served(s.lake()).select(
         "supporter_id", "membership_tier", "total_customer_value", "engagement_score", "purchase_intent_score",
         "recommended_action", "recommendation_reason", "intent_score", "opportunity_type")
 
@@ -199,6 +200,15 @@ def refresh_increments_recent_sessions(s: Star) -> DataFrame:
     return days.groupBy("supporter_id").agg(F.count_distinct("session_id").alias("sessions"))
 
 
+LOOKED_UP = tuple(f"S{i}" for i in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 0))
+
+
+@query
+def lookup_activities(s: Star) -> DataFrame:
+    """Latest activities of some supporters, from their buckets of the published table."""
+    return _activity_text(by_supporter.lookup(s.lake(), by_supporter.FEED, LOOKED_UP))
+
+
 @query
 def publish_profile(s: Star) -> DataFrame:
     return serving.publish_profile(s.scored_gold(), s.scores)
@@ -652,51 +662,94 @@ def confusion_matrix(s: Star) -> DataFrame:
     return intent_ml.confusion_matrix(_rule_predictions(s))
 
 
+def _rank_auc(predictions: DataFrame, bins: int = 100_000) -> DataFrame:
+    """Share of pairs of both labels in the right order, from a histogram of at most ``bins`` + 1 rows in which pairs of one
+    bin count half: another way than ``evaluate`` takes, and as exact as the bins are fine."""
+    positive = F.col(intent_ml.LABEL) == 1
+    found = predictions.groupBy(F.floor(F.col("probability") * bins).alias("bin")).agg(
+        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    below = F.sum("neg").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
+    return found.withColumn("below", below).agg(
+        F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg")), 4).alias("again"))
+
+
 @query
 def select_best(s: Star) -> DataFrame:
-    """Models compared, whether the chosen one has the largest AUC, and whether that is above chance."""
+    """Models compared, whether the chosen one has the largest AUC, whether that is above chance, and whether the AUCs
+    are those of the ranks of the test rows."""
     metrics = s.written("metrics", lambda: _metrics(s))
     best = intent_ml.select_best(metrics).select(F.col("model").alias("chosen"), F.col("auc").alias("top"))
-    return metrics.join(best, F.lit(True)).agg(  # two rows and one
+    again = reduce(DataFrame.unionByName, [
+        _rank_auc(s.test_predictions(m)).withColumn("model", F.lit(m)) for m in ("logistic_regression", "boosted_trees")])
+    return metrics.join(again, "model").join(best, F.lit(True)).agg(  # two rows and one
         F.count("*").alias("models"), F.bool_and(F.col("auc") <= F.col("top")).alias("is_best"),
         F.bool_and((F.col("top") > 0.5) & (F.col("top") <= 1)).alias("above_chance"),
-        F.count_if(F.col("model") == F.col("chosen")).alias("chosen"))
+        F.count_if(F.col("model") == F.col("chosen")).alias("chosen"),
+        F.bool_and(F.abs(F.col("auc") - F.col("again")) < 2.5e-4).alias("auc_agrees"))
+
+
+def _by_hand(s: Star) -> tuple[DataFrame, dict[str, float], dict[str, Column]]:
+    """Probabilities from the published coefficients, feature by feature and by name, the weights, and the standardised features."""
+    weights = {r["feature"]: r["weight"] for r in intent_ml.coefficients(s.model("logistic_regression"), s.frame).collect()}
+    train = s.frame.filter("NOT is_test")
+    mean, std = (train.agg(*[f(F.col(c).cast("double")).alias(c) for c in intent_ml.INPUTS]).first() for f in (F.avg, F.stddev_samp))
+    scaled = {c: (F.col(c).cast("double") - mean[c]) / std[c] if std[c] else F.lit(0.0) for c in intent_ml.INPUTS}
+    margin = reduce(lambda a, b: a + b, [F.lit(weights[c]) * z for c, z in scaled.items()], F.lit(weights[intent_ml.INTERCEPT]))
+    return s.frame.withColumn("by_hand", 1.0 / (1.0 + F.exp(-margin))), weights, scaled
 
 
 @query
 def feature_importance(s: Star) -> DataFrame:
-    """Per model: features listed, those known, and whether weights are positive and the first is the largest."""
+    """Per model: features listed, those known, whether they are the heaviest in order, and whether each weighs what its name
+    says: the regression's derivative by each named feature is 0, and the trees split by the named features."""
+    rows, weights, scaled = _by_hand(s)
+    counts = intent_ml.class_counts(s.frame.filter("NOT is_test"))
+    balance, n = intent_ml.balanced_weights(counts), sum(counts.values())
+    residual = (F.col("by_hand") - F.col(intent_ml.LABEL)) * F.when(F.col(intent_ml.LABEL) == 1, balance.get(1, 1.0)).otherwise(balance.get(0, 1.0))
+    trees = s.model("boosted_trees").stages[-1].toDebugString
+
     def summary(name: str) -> DataFrame:
         top = intent_ml.feature_importance(s.model(name), s.frame)
+        listed = [(r["feature"], r["importance"]) for r in top.collect()]  # eight rows
+        if name == "boosted_trees":
+            splits = {intent_ml.INPUTS[int(i)] for i in re.findall(r"If \(feature (\d+) ", trees)}
+            named = F.lit(all((weight > 0) == (feature in splits) for feature, weight in listed))
+        else:
+            slopes = [F.abs(F.sum(residual * scaled[f]) / n + weights[f] / n) for f, _ in listed]
+            same = all(abs(weights[f]) == weight for f, weight in listed)
+            steepest = rows.filter("NOT is_test").agg(F.round(F.greatest(*slopes), 2).alias("slope"))
+            named = F.lit(same and steepest.first()["slope"] == 0)
+        heaviest = sorted((abs(w) for f, w in weights.items() if f != intent_ml.INTERCEPT), reverse=True)[:len(listed)]
+        in_order = [w for _, w in listed] == (heaviest if name != "boosted_trees" else sorted((w for _, w in listed), reverse=True))
         return top.agg(F.lit(name).alias("model"), F.count_distinct("feature").alias("features"),
                        F.count_if(F.col("feature").isin(*intent_ml.INPUTS)).alias("known"),
-                       (F.max("importance") > 0).alias("any_weight"), F.bool_and(F.col("importance") >= 0).alias("no_negative"))
+                       (F.max("importance") > 0).alias("any_weight"), F.bool_and(F.col("importance") >= 0).alias("no_negative"),
+                       F.lit(in_order).alias("heaviest_first"), named.alias("named_right"))
 
     return reduce(DataFrame.unionByName, [summary(name) for name in ("logistic_regression", "boosted_trees")])
 
 
 @query
 def score_all(s: Star) -> DataFrame:
-    """Every supporter with the label, and whether the probability is one and on the side of its odds."""
+    """Every supporter with the label, and whether the probability is one and the one that the published coefficients give."""
     scored = intent_ml.score_all(s.model("logistic_regression"), s.frame)
-    said = s.model("logistic_regression").transform(s.frame).select("supporter_id", F.col("_pred"))
     p = F.col("probability")
-    return scored.join(said, "supporter_id").select(
-        "supporter_id", intent_ml.LABEL, p.between(0, 1).alias("in_range"),
-        ((p > 0.5) == (F.col("_pred") == 1)).alias("agrees"))
+    return scored.join(_by_hand(s)[0].select("supporter_id", "by_hand"), "supporter_id").select(
+        "supporter_id", intent_ml.LABEL, p.between(0, 1).alias("in_range"), (F.abs(p - F.col("by_hand")) < 1e-9).alias("agrees"))
 
 
 @query
 def model_scores(s: Star) -> DataFrame:
-    """Score table of the trained model: action, and whether the score blends its probability with the
-    behaviour signal."""
+    """Score table of the trained model: action, and whether the score blends the probability that the published
+    coefficients give with the behaviour signal."""
     probabilities = intent_ml.score_all(s.model("logistic_regression"), s.frame)
     scores = intent_ml.publish_scores(intent_ml.intent_scores(s.scored, probabilities, s.cfg), s.cfg)
     signal = s.scored.select("supporter_id", scoring.behaviour_signal(s.cfg).cast("double").alias("signal"))
-    blend = F.bround(0.7 * (F.col("model_intent_prob") * 100.0) + 0.3 * F.col("signal"), 0)
-    return scores.join(signal, "supporter_id").select(
+    blend = F.least(F.greatest(0.7 * (F.col("by_hand") * 100.0) + 0.3 * F.col("signal"), F.lit(0.0)), F.lit(100.0))
+    by_hand = _by_hand(s)[0].select("supporter_id", "by_hand")
+    return scores.join(signal, "supporter_id").join(by_hand, "supporter_id").select(
         "supporter_id", "recommended_next_action", "genai_reason",
-        (F.col("purchase_intent_score") == F.least(F.greatest(blend, F.lit(0.0)), F.lit(100.0))).alias("is_blend"))
+        (F.abs(F.col("purchase_intent_score") - blend) <= 0.5 + 1e-6).alias("is_blend"))
 
 
 @query

@@ -123,12 +123,13 @@ class Run(Snapshot):
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def replace(self, name: str, df: DataFrame, column: str, touched: Iterable[str], sort: Iterable[str] = ()) -> None:
+    def replace(self, name: str, df: DataFrame, column: str, touched: Iterable[str], sort: Iterable[str] = (),
+                options: dict[str, str] | None = None) -> None:
         """Puts the rows of ``df`` in place of the partitions ``touched``; ``df`` may have others, which are new.
 
         ``column`` is text that can stand in a path. A touched partition without rows is empty from now on. Rows are
         dealt by partition, and a large partition to several tasks; with ``sort`` files are ordered, so that row groups
-        can be skipped.
+        can be skipped. ``options`` go to the Parquet writer.
         """
         write = uuid.uuid4().hex
         ordered = df.select(*[c for c in df.columns if c != column], column)
@@ -136,7 +137,7 @@ class Run(Snapshot):
         dealt = ordered if column == WHOLE else ordered.hint("rebalance", column)
         if sort:
             dealt = dealt.sortWithinPartitions(column, *sort)
-        dealt.write.partitionBy(column).parquet(folder)
+        dealt.write.options(**(options or {})).partitionBy(column).parquet(folder)
         made = [n.partition("=")[2] for n in commits.names(self.spark, folder) if n.startswith(f"{column}=")]
         old = self.tables.get(name, {"parts": {}, "writes": {}})
         gone = set(touched) | set(made)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from audience_lens.config import EngineConfig
-from audience_lens.operators import activity, serving
+from audience_lens.operators import activity, by_supporter, serving
 from audience_lens.operators import day_states as ds
 from audience_lens.operators import expectations as ex
 from audience_lens.plans import increment, medallion
@@ -50,8 +50,8 @@ def check_equals_rebuild(spark, root, cfg):
         same(now.table(f"quarantine.{source}"), rejected)
     gold = medallion.build_360(built, cfg)
     same(now.table("gold.supporter_360"), gold)
-    same(increment.served(now), serving.load_serving(serving.publish_profile(gold), serving.publish_nba(gold, cfg, updated_at=at())))
-    same(now.table("serving.activity_feed"), activity.export_activity(medallion.build_activity(built)))
+    same(by_supporter.served(now), serving.load_serving(serving.publish_profile(gold), serving.publish_nba(gold, cfg, updated_at=at())))
+    same(by_supporter.read(now, by_supporter.FEED), activity.export_activity(medallion.build_activity(built)))
 
 
 def test_landings_in_any_order_equal_a_rebuild(spark, tmp_path, monkeypatch):
@@ -132,7 +132,7 @@ def test_boundary_day_is_cut_at_the_hour(spark, small):
 def test_a_stopped_run_leaves_nothing_to_read_or_keep(spark, small, monkeypatch):
     landing, root = small
     lake = Lake(spark, f"{root}/lake")
-    before = sorted(map(str, increment.served(lake.snapshot()).collect()))
+    before = sorted(map(str, by_supporter.served(lake.snapshot()).collect()))
     land({"web_events": rows(spark, "web_events", WEB, {"session_id": "SESS9"}), "supporters": rows(spark, "supporters", PERSON, {"supporter_id": "S3"})}, landing)
 
     class Stopped(Exception):
@@ -145,7 +145,7 @@ def test_a_stopped_run_leaves_nothing_to_read_or_keep(spark, small, monkeypatch)
         m.setattr(commits, "create_once", stop)
         with pytest.raises(Stopped):
             increment.advance(spark, landing, root, CFG, at())
-    assert lake.snapshot().number == 1 and sorted(map(str, increment.served(lake.snapshot()).collect())) == before
+    assert lake.snapshot().number == 1 and sorted(map(str, by_supporter.served(lake.snapshot()).collect())) == before
     increment.advance(spark, landing, root, CFG, at())
     check_equals_rebuild(spark, root, CFG)
     tables = lake.snapshot().tables
