@@ -166,7 +166,11 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Null and empty texts have no word and go; repeated rows are judged each and stay or go together; null ids and columns
+    of any name are carried along; an empty table gives no rows.
+    """
     names = docs.columns
     out = judged(docs, names, text_col).filter("kept")
     return out.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(names)])

@@ -274,7 +274,11 @@ def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
 
 
 def without_secrets(docs: DataFrame, mask: str = "[secret]", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with every secret in their texts replaced by ``mask``; all columns stay."""
+    """The rows of ``docs`` with every secret in their texts replaced by ``mask``; all columns stay.
+
+    No row goes. Null and empty texts stay as they are; spans that overlap are masked as one; repeated rows are masked alike; an
+    empty table gives no rows.
+    """
     names = docs.columns
     held = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"),
                        F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)]).alias("_row"))

@@ -412,7 +412,11 @@ def _kept_text(texts_: pa.Array, spans: pa.Array) -> list[str | None]:
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeated spans taken out of their texts; all columns stay."""
+    """The rows of ``docs`` with repeated spans taken out of their texts; all columns stay.
+
+    No row goes: a text that repeats elsewhere in full, as that of a repeated row of 200 bytes or more, becomes an empty one. Null
+    and shorter texts stay as they are, null ids too; an empty table gives no rows.
+    """
     names = docs.columns
     held = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"),
                        F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names) if c != text_col]).alias("_row"))
