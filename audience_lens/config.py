@@ -44,7 +44,7 @@ EXPERIENCE = "Experience"
 INTENT_BANDS = (("0-39 Low", 0), ("40-69 Medium", 40), ("70-100 High", 70))
 HIGH_INTENT = 70
 
-# "Never happened" markers of the recency columns.
+# Fixed values: "never happened" markers of the recency columns.
 NEVER = dt.datetime(2000, 1, 1)
 NEVER_DAYS = 999
 
@@ -130,7 +130,7 @@ class BusinessAssumptions:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    ref_ts: dt.datetime = dt.datetime(2025, 9, 20, 12, 0, 0)
+    ref_ts: dt.datetime = dt.datetime(2025, 9, 20, 12, 0, 0)  # fixed value
     window_days: int = 30
     brand: str = "Club"
     home_country: str = "United Kingdom"
@@ -152,7 +152,7 @@ class EngineConfig:
 
     @property
     def opportunity_of(self) -> dict[str, str]:
-        """Action label -> opportunity type."""
+        """Action label -> opportunity type (fixed values)."""
         return {
             MATCH_TICKET: TICKET_INTENT,
             MEMBERSHIP_UPGRADE: MEMBERSHIP_OPPORTUNITY,

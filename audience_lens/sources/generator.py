@@ -73,6 +73,7 @@ FIRST_NAMES = ["Ada", "Ben", "Cleo", "Dara", "Eli", "Fay", "Gus", "Hana", "Ivo",
 # Dirty supporters and replayed orders that are injected.
 DIRTY_CASING, DIRTY_TIER, DIRTY_AGE, REPLAYS = 20, 10, 10, 30
 
+# Days of history, and days since the last activity of lapsed supporters.
 HISTORY_DAYS, LAPSED_WEB_DAYS, LAPSED_MAIL_DAYS = 365, 60, 45
 
 

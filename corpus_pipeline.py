@@ -15,27 +15,28 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed rules reject go."""
+    """Documents that the weighed rules reject go, those without a word among them; the others stay as they are."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays, null ids last; exactly one row a group."""
     return jaccard_join.one_of_each_group(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in repeated 200-byte strings go; every document stays, if need be with an empty text."""
+    """Bytes in repeated 200-byte strings go, and characters that lose some of theirs; every document stays, if need be
+    with an empty text."""
     return _with_length(suffix_dedup.without_repeats(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every document stays, null and empty texts as they are."""
     return _with_length(secrets.without_secrets(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 1024."""
+    """Token pieces in sequences of 1024; a null or empty text is one piece that is the end id alone."""
     return packing.pack_documents(docs)
 
 
