@@ -3,9 +3,11 @@
 Every kind's credentials are learnt as a probabilistic automaton. Strings that the base patterns label,
 a bounded sample of each kind, form a prefix tree over character classes; states are merged from the
 start outwards where Hoeffding bounds can't tell their ending and next-class frequencies apart, along
-with all that follows them. Every other run of credential characters in every text is then a candidate:
-it is added as kind ``format`` if some credential automaton explains it better than ordinary writing
-does by more than MIN_ODDS. Ordinary writing is a fixed chain over letters, digits and signs; nothing
+with all that follows them, and the lengths still to come are alike too: deep in a tree classes alone
+are too rare to keep states apart, and a format would lose its length. Of several states that fit, the
+one with the nearest mean length to come takes the merge. Every other run of credential characters in
+every text is then a candidate, whole or what a base span leaves of it: it is added as kind ``format``
+if some credential automaton explains it better than ordinary writing does by more than MIN_ODDS. Ordinary writing is a fixed chain over letters, digits and signs; nothing
 of it is fitted to unlabelled runs, so credentials no base pattern knows can't pass for ordinary by
 being frequent.
 """
@@ -28,11 +30,13 @@ from audience_lens.llm.common import arrow_map, record, saved, small, table, tex
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+SHORTEST = 8  # characters of a candidate, as of the shortest labelled string
+RUN = re.compile(r"[A-Za-z0-9+/_.-]{8,}(?:={1,2}(?![A-Za-z0-9+/_.=-]))?")  # "=" parts a name from its value, or pads the end
 KINDS = ("assign", "access", "hex")
 SAMPLE = 600  # distinct strings of each kind, by hash, to which automata are fitted
-LONGEST = 128  # characters of a string that is learnt from; all are scored whole
+LONGEST = 128  # characters of a string that is learnt from or remembered; all are scored whole
 ALPHA = 0.05  # chance of keeping two states apart that are alike
+LEFT = log(1 / 12)  # of a class, or of the end, once a string has left an automaton: 11 classes and the end
 MIN_ODDS = log(1e4)
 # ordinary writing: chances of the next type of character, or of the end, after a type; "" is the start, "caps"
 # a capital after another
@@ -61,14 +65,18 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of credential characters that no base span touches."""
+    """Runs of credential characters, cut where base spans cover them; parts under SHORTEST are none."""
     out, i, reach = [], 0, 0
     for m in RUN.finditer(text):
+        at = max(m.start(), reach)
         while i < len(base) and base[i][0] < m.end():
-            reach = max(reach, base[i][2])
+            if base[i][0] - at >= SHORTEST:
+                out.append((at, base[i][0], text[at:base[i][0]]))
+            reach = max(reach, base[i][2])  # spans of different kinds may overlap
+            at = max(at, reach)
             i += 1
-        if reach <= m.start():
-            out.append((m.start(), m.end(), m[0]))
+        if m.end() - at >= SHORTEST:
+            out.append((at, m.end(), text[at:m.end()]))
     return out
 
 
@@ -79,27 +87,47 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]  # where a class leads
         self.count: list[dict[str, int]] = [{}]  # how often it is read
         self.ends, self.total = [0], [0]
+        self.to_come: list[dict[int, int]] = [{}]  # how often a string goes on for so many classes
         for s in strings:
             at = 0
-            for c in s:
+            for i, c in enumerate(s):
                 self.total[at] += 1
+                self.to_come[at][len(s) - i] = self.to_come[at].get(len(s) - i, 0) + 1
                 self.count[at][c] = self.count[at].get(c, 0) + 1
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
                     self.count.append({})
+                    self.to_come.append({})
                     self.ends.append(0)
                     self.total.append(0)
                 at = self.next[at][c]
             self.total[at] += 1
             self.ends[at] += 1
+            self.to_come[at][0] = self.to_come[at].get(0, 0) + 1
         self._infer()
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > self.factor * (1 / sqrt(n1) + 1 / sqrt(n2))
 
+    def _lengths_differ(self, a: int, b: int) -> bool:
+        """Whether at some length the shares of strings that are over by then differ by more than the bounds."""
+        n, m = self.total[a], self.total[b]
+        f = g = 0
+        for length in sorted(self.to_come[a].keys() | self.to_come[b].keys()):
+            f += self.to_come[a].get(length, 0)
+            g += self.to_come[b].get(length, 0)
+            if self._differ(f, n, g, m):
+                return True
+        return False
+
+    def _mean(self, a: int) -> float:
+        return sum(k * n for k, n in self.to_come[a].items()) / self.total[a]
+
     def _alike(self, a: int, b: int) -> bool:
-        """Whether the two states, and all states behind them, pass the test."""
+        """Whether the two states pass the tests, and all states behind them those of classes and endings."""
+        if self._lengths_differ(a, b):
+            return False
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
@@ -121,6 +149,8 @@ class Automaton:
             a, b = todo.pop()
             self.ends[a] += self.ends[b]
             self.total[a] += self.total[b]
+            for k, n in self.to_come[b].items():
+                self.to_come[a][k] = self.to_come[a].get(k, 0) + n
             for c, n in self.count[b].items():
                 self.count[a][c] = self.count[a].get(c, 0) + n
                 if c in self.next[a]:
@@ -130,28 +160,32 @@ class Automaton:
 
     def _infer(self) -> None:
         self.factor = sqrt(0.5 * log(2 / ALPHA))
-        red = [0]
+        red, known = [0], {0}
         while True:
-            blue = [(-self.total[q], p, c, q) for p in red for c, q in self.next[p].items() if q not in red]
+            blue = [(-self.total[q], p, c, q) for p in red for c, q in self.next[p].items() if q not in known]
             if not blue:
                 break
             _, parent, c, state = min(blue)
-            for r in red:
+            mean = self._mean(state)
+            for r in sorted(red, key=lambda r: (abs(self._mean(r) - mean), r)):
                 if self._alike(r, state):
                     self.next[parent][c] = r
                     self._fold(r, state)
                     break
             else:
                 red.append(state)
+                known.add(state)
         self.red = red
 
     def log_likelihood(self, classes: str) -> float:
-        """Classes never seen in a state, and strings that leave the automaton, get a small chance."""
+        """A class never seen in a state gets a small chance and counts as put in between: the state stays. Where every
+        learnt string ends, a class leaves the automaton; from there on every class and the end are as likely as one another."""
         at, out = 0, 0.0
-        for c in classes:
-            n = self.total[at] + 1.0
-            out += log((self.count[at].get(c, 0) + 0.02) / n)
-            at = self.next[at].get(c, 0)
+        for i, c in enumerate(classes):
+            out += log((self.count[at].get(c, 0) + 0.02) / (self.total[at] + 1.0))
+            if not self.next[at]:
+                return out + LEFT * (len(classes) - i)
+            at = self.next[at].get(c, at)
         return out + log((self.ends[at] + 0.02) / (self.total[at] + 1.0))
 
 
@@ -179,7 +213,7 @@ def ordinary(classes: str) -> float:
 
 class Scorer:
     def __init__(self, learnt: dict[str, list[str]]) -> None:
-        classes = {k: [s[:LONGEST].translate(_CLASSES) for s in v] for k, v in learnt.items() if v}
+        classes = {k: [s.translate(_CLASSES) for s in v] for k, v in learnt.items() if v}
         self.automata = {k: Automaton(v) for k, v in sorted(classes.items())}
         self.memo: dict[str, float] = {}
 
@@ -190,7 +224,9 @@ class Scorer:
             if len(self.memo) > MEMO:
                 self.memo.clear()
             best = max((a.log_likelihood(classes) for a in self.automata.values()), default=float("-inf"))
-            known = self.memo[classes] = best - ordinary(classes)
+            known = best - ordinary(classes)
+            if len(classes) <= LONGEST:
+                self.memo[classes] = known
         return known
 
     def added(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:

@@ -370,6 +370,42 @@ def test_automaton_generalises():
     assert own.log_likelihood("0a" * 20) > own.log_likelihood("a0" * 20) + 3
 
 
+def test_automaton_keeps_lengths():
+    """Strings of one length give a chain of states, whose likelihood is the product of shares by place; a string of
+    another length is less likely by character."""
+    rng = random.Random(9)
+    learnt = ["".join(rng.choices("0000000000aaaaaa", k=40)) for _ in range(600)]
+    own = secrets.Automaton(learnt)
+    assert len(own.red) == 41
+    for s in learnt[:20]:
+        shares = [(sum(t[i] == c for t in learnt) + 0.02) / 601 for i, c in enumerate(s)] + [600.02 / 601]
+        assert abs(own.log_likelihood(s) - float(np.log(shares).sum())) < 1e-9
+        for other in (s[:20], s[:39], s + s[:1], s + s):
+            assert own.log_likelihood(s) / 41 > own.log_likelihood(other) / (len(other) + 1) + 0.1
+
+
+def test_candidates_are_what_base_spans_leave():
+    found = lambda text: [r for _, _, r in secrets.candidates(text, secrets.base_spans(text))]
+    digits = "0123456789abcdef" * 2
+    assert found("eightchr seven77") == ["eightchr"] and found("sevench,abcdefgh") == ["abcdefgh"]
+    assert found("username=QWERTYUIOP") == ["username", "QWERTYUIOP"] and found("cGFkZGVkIQ== x") == ["cGFkZGVkIQ=="]
+    assert found(f"GHJKLMNPQR{digits}XYZXYZXYZ") == ["GHJKLMNPQR", "XYZXYZXYZ"] and found(f"x{digits}y") == []
+    assert found(f"token=WWWWWWWW={digits}=YYYYYYYY ZZZZZZZZ") == ["ZZZZZZZZ"]
+    text = f"QWERTYUIOP {digits} abcdefgh=ABCDEFGHI"
+    assert all(text[a:b] == r for a, b, r in secrets.candidates(text, secrets.base_spans(text)))
+    long = "Q" * 300_000
+    assert found(long) == [long] and secrets.candidates("", []) == []
+
+
+def test_rest_beside_a_base_span_is_scored(spark):
+    rng = random.Random(3)
+    key = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    rows = [(i, f"then token={key(16)} and") for i in range(200)]
+    rows += [(1000, f"see {key(32)}/0a1b2c3d4e5f6071 there"), (1001, "see 0a1b2c3d4e5f6071 there"), (1002, "header=0a1b2c3d4e5f6071")]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] == "hex:4:36,format:36:53" and got[1001] == "format:4:20" and got[1002] == "format:7:23"
+
+
 def test_masking(awkward):
     out = secrets.without_secrets(awkward)
     assert out.schema == awkward.schema and out.count() == awkward.count()
