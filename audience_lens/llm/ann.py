@@ -5,7 +5,9 @@ largest inner product is the smallest Euclidean distance. A table hashes a vecto
 wide, into which its projections on Gaussian (2-stable) directions fall. The projections of a neighbour
 at distance r spread normally around the query's, which gives the chance that the neighbour lies in any
 other bucket: a query visits the perturbed buckets in falling order of that chance until the tables
-together reach TARGET. r comes from a bounded sample; every row is indexed. Large buckets are split
+together reach TARGET. r first comes from a bounded sample and is one for all; a query whose k-th found
+neighbour is farther than that goes on with its own distance, which no true neighbour exceeds, and one that
+found fewer than k visits every bucket of a table. Every row is indexed. Large buckets are split
 into blocks of about BLOCK rows that the probes visit one by one, so no task holds a hot bucket.
 Candidates are reranked by inner products in double precision on the original vectors.
 """
@@ -50,10 +52,11 @@ class Hasher:
         digits = np.clip(slots, -REACH, REACH) + REACH
         return digits @ (2 * REACH + 1) ** np.arange(HASHES)
 
-    def probes(self, q: np.ndarray, t: int, codes: np.ndarray) -> list[np.ndarray]:
-        """For each query the positions in ``codes`` to visit, likeliest first."""
+    def probes(self, q: np.ndarray, t: int, codes: np.ndarray, cos: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query the positions in ``codes`` to visit, likeliest first, for neighbours at its ``cos``."""
         unit = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
-        mean, spread = self.cos * (unit @ self.directions[t]), sqrt(1 - self.cos ** 2)
+        cos = np.full((len(q), 1), self.cos) if cos is None else np.clip(cos, -1 + 1e-9, 1 - 1e-9)[:, None]
+        mean, spread = cos * (unit @ self.directions[t]), np.sqrt(1 - cos ** 2)
         log_p = np.zeros((len(q), len(codes)))
         edges = np.arange(-REACH, REACH + 2) * SLOT
         for k in range(HASHES):
@@ -66,6 +69,20 @@ class Hasher:
         each = 1 - (1 - TARGET) ** (1 / TABLES)
         return [o[:n] for o, n in zip(order, (sure < each).sum(axis=1) + 1)]
 
+    def more_probes(self, q: np.ndarray, t: int, codes: np.ndarray, kth: np.ndarray) -> list[np.ndarray]:
+        """What ``probes`` left out, for queries whose k-th neighbour found has the score ``kth`` (-inf: there is none)
+        and lies beyond the distance assumed there."""
+        cos = kth / (self.norm * np.linalg.norm(q, axis=1))
+        out = [np.zeros(0, np.int64)] * len(q)
+        far = np.flatnonzero(cos < self.cos)
+        for at in (far[i:i + 64] for i in range(0, len(far), 64)):
+            wider = self.probes(q[at], t, codes, np.maximum(cos[at], -1))
+            for i, before, now in zip(at.tolist(), self.probes(q[at], t, codes), wider):
+                if np.isneginf(kth[i]):
+                    now = np.arange(len(codes)) if t == 0 else now[:0]
+                out[i] = np.setdiff1d(now, before)
+        return out
+
 
 def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec): rows that take part. Ids that are null, vectors that are null, empty, zero or hold null
@@ -129,18 +146,22 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id"
                               ("id", pa.int64()), ("vec", pa.list_(pa.float64()))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row as a candidate once a table, and the visits of the queries; further ones if there is a column kth."""
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 x, ids, salt = _matrix(part.column("vec"), dim), part.column("id").to_numpy(), part.column("salt").to_numpy()
-                asks = np.flatnonzero(ids % every == 0)
+                asks, again = np.flatnonzero(ids % every == 0), "kth" in part.schema.names
+                kth = part.column("kth").to_numpy(zero_copy_only=False)[asks] if again else None
                 for t, (known, blocks) in enumerate(plan.value):
                     code = shared.value.codes(x, t)
                     yield record(dealt_schema, [np.full(len(x), t, np.int32), code, salt % blocks[np.searchsorted(known, code)],
                                                 np.zeros(len(x), np.int32), ids, part.column("vec")])
                     if not len(asks):
                         continue
-                    visits = [(i, b, s) for i, own_ in zip(asks.tolist(), shared.value.probes(x[asks], t, known))
-                              for b in own_.tolist() for s in range(blocks[b])]
+                    wanted = shared.value.more_probes(x[asks], t, known, kth) if again else shared.value.probes(x[asks], t, known)
+                    visits = [(i, b, s) for i, own_ in zip(asks.tolist(), wanted) for b in own_.tolist() for s in range(blocks[b])]
+                    if not visits:
+                        continue
                     row, b, s = (np.array(v, np.int64) for v in zip(*visits))
                     yield record(dealt_schema, [np.full(len(row), t, np.int32), known[b], s, np.ones(len(row), np.int32),
                                                 ids[row], part.column("vec").take(pa.array(row))])
@@ -185,13 +206,22 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id"
             out.append((np.full(len(order), one), ids[picked][order], score[order]))
         yield record(found_schema, [np.concatenate(c) for c in zip(*out)])
 
-    dealt = arrow_map(own.withColumn("salt", F.expr("pmod(xxhash64(id), 1000003)")), deal,
-                      "t int, code long, block long, side int, id long, vec array<double>")
-    ordered = dealt.repartition("t", "code", "block").sortWithinPartitions("t", "code", "block", "side", "id")
-    found = arrow_map(ordered, rerank, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def visited(rows_: DataFrame) -> DataFrame:
+        dealt = arrow_map(rows_.withColumn("salt", F.expr("pmod(xxhash64(id), 1000003)")), deal,
+                          "t int, code long, block long, side int, id long, vec array<double>")
+        ordered = dealt.repartition("t", "code", "block").sortWithinPartitions("t", "code", "block", "side", "id")
+        return arrow_map(ordered, rerank, "query_id long, vec_id long, score double")
+
+    def nearest(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = saved(nearest(visited(own)), "neighbours")  # at most k rows a query
+    last = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    kth = F.when(F.col("id") % every == 0, F.coalesce("kth", F.lit(float("-inf"))))
+    further = own.join(last, F.col("id") == F.col("query_id"), "left").select("id", "vec", kth.alias("kth"))
+    return nearest(first.select("query_id", "vec_id", "score").unionByName(visited(further)))
 
 
 def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,28 @@ def test_recall(spark, sf_dir):
         assert all(abs(s - scores[q].get(v, s)) < 1e-12 for v, s in own)
 
 
+@pytest.mark.parametrize("n", [2000, 12_000])
+def test_recall_on_clusters(spark, n):
+    """Most rows in tight clusters, the others on their own, whose neighbours are far beyond the median distance; more
+    rows than the sample holds. Every query gets its k, also where its buckets are nearly empty."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(n // 100, 32))
+    x = rng.normal(size=(n, 32))
+    tight = rng.random(n) < 0.7
+    x[tight] = centres[rng.integers(0, len(centres), tight.sum())] + 0.05 * rng.normal(size=(tight.sum(), 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist(), "v", 1, 2) for i, v in enumerate(x)], VECTORS)
+    got = found(ann.search(df))
+    shares = []
+    for q in range(0, n, 20):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        want = set(np.lexsort((np.arange(n), -score))[:20].tolist())
+        assert len(got[q]) == 20
+        shares.append(len(want & {v for v, _ in got[q]}) / 20)
+    assert np.mean(shares) >= 0.9 and np.percentile(shares, 10) >= 0.7, (np.mean(shares), np.percentile(shares, [0, 10]))
+
+
 def test_awkward_vectors(spark, monkeypatch):
     """Nulls, zeros, infinities, other lengths, ties among copies of one vector, repeated rows, few rows;
     with blocks so small that buckets are split."""
