@@ -267,6 +267,35 @@ def test_jaccard_chains_and_hot_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute.components(rows)
 
 
+def test_jaccard_stragglers(spark, monkeypatch):
+    """Copies around the threshold: some link only with others than the pivots, through edits they share, some with
+    shorter ones, some with nothing; they are told apart by a few pairs a document, not by all of them."""
+    rng = random.Random(17)
+    rows, pairs = [], []
+    for g in range(3):
+        base = [f"b{g}_{i}" for i in range(150)]
+        places = rng.sample(range(2, 148), 14)
+        for i in range(110):
+            own = list(base)
+            for at in rng.sample(places if i % 2 else range(150), rng.randrange(1, 9)):
+                own[at] = f"e{at % 3}" if i % 3 else f"p{g}_{i}_{at}"  # an edit that others have too, or one of its own
+            rows.append((1000 * g + i, " ".join(own[rng.randrange(25) if i % 5 == 0 else 0:])))
+    rows += [(5000 + i, " ".join([f"b0_{k}" for k in range(30)] + [f"q{i}_{k}" for k in range(120)])) for i in range(60)]
+    rng.shuffle(rows)
+    whole = jaccard_join.linked
+
+    def counted(some, *rest):
+        pairs.append(some.count())
+        return whole(some, *rest)
+
+    monkeypatch.setattr(jaccard_join, "linked", counted)
+    out = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    plain = brute.components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == plain
+    assert len({c for _, c in plain.values()}) > 75
+    assert len(pairs) > 3 and sum(pairs) < (170 * 169 + 2 * 110 * 109) / 2 / 3  # of all pairs that share a base
+
+
 def test_one_of_each_group_without_usable_ids(spark):
     """Groups are told apart by themselves: ids may be null or stand for several texts."""
     words = lambda s, n=40: [f"{s}{i}" for i in range(n)]
