@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 
 from audience_lens.functions import cleaning as cl
 from audience_lens.operators.expectations import drop_rules, expect_drop
+from audience_lens.schemas import DEALT
 
 
-def dedup_first(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
+def dedup_first(df: DataFrame, key: str, order: Sequence[Column | str], dealt: Sequence[str] = ()) -> DataFrame:
     """First row per key in ``order``; the remaining columns break ties.
 
     The rank filter is applied per map task before the shuffle, so a key that holds a large
-    share of the rows reaches the reducer as one row per task.
+    share of the rows reaches the reducer as one row per task. ``dealt`` are columns in which all copies
+    of a key agree: a frame that lies dealt by them is not dealt again. Of rows without a key one is left
+    for each of their values.
     """
-    named = {c for c in order if isinstance(c, str)} | {key}
+    named = {c for c in order if isinstance(c, str)} | {key, *dealt}
     ties = [c for c in df.columns if c not in named]
-    w = Window.partitionBy(key).orderBy(*order, *ties)
+    w = Window.partitionBy(*dealt, key).orderBy(*order, *ties)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -83,12 +86,16 @@ def type_ecommerce_orders(raw: DataFrame) -> DataFrame:
         cl.to_number_lenient("quantity", "int").alias("quantity"),
         cl.to_number_lenient("revenue", "double").alias("revenue"),
         cl.to_timestamp_lenient("purchase_timestamp").alias("purchase_timestamp"),
+        *[c for c in raw.columns if c == DEALT],
     )
 
 
 def clean_ecommerce_orders(raw: DataFrame, drop_first: bool = False) -> DataFrame:
-    return _keep(type_ecommerce_orders(raw), "ecommerce_orders",
-                 lambda df: dedup_first(df, "order_id", ["purchase_timestamp"]), drop_first)
+    """Raw rows may say by what they lie dealt (``DEALT``): equal for all copies of an order id."""
+    typed = type_ecommerce_orders(raw)
+    dealt = [c for c in typed.columns if c == DEALT]
+    return _keep(typed, "ecommerce_orders",
+                 lambda df: dedup_first(df, "order_id", ["purchase_timestamp"], dealt), drop_first).drop(DEALT)
 
 
 def type_ticket_orders(raw: DataFrame) -> DataFrame:

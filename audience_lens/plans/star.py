@@ -42,7 +42,7 @@ class Star:
 
     def cleaned(self) -> medallion.Silver:
         """Silver computed in place, without a written table."""
-        return medallion.build_silver({source: self.raw(source) for source in adapters.RAW})
+        return medallion.build_silver({source: dealt(self.table) for source, dealt in adapters.RAW_DEALT.items()})
 
     # ---- written layers ----
     @cached_property
@@ -74,7 +74,7 @@ class Star:
 
         def layer(source: str) -> DataFrame:
             return materialize(self.spark, f"silver_{source}", version,
-                               lambda: CLEANERS[source](self.raw(source)))
+                               lambda: CLEANERS[source](adapters.RAW_DEALT[source](self.table)))
 
         tables = in_parallel(self.spark, [partial(layer, source) for source in adapters.RAW])
         return medallion.Silver(**dict(zip(adapters.RAW, tables)))

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 RESCUED = "_rescued_data"
+DEALT = "_dealt"
 
 RAW_COLUMNS = {
     "supporters": (

@@ -3,9 +3,12 @@
 import datetime as dt
 
 from frames import MAIL, ORDER, PERSON, TICKET, WEB, raw
+from pyspark.sql import functions as F
 
 from audience_lens.operators import expectations as ex
 from audience_lens.operators import silver
+from audience_lens.plans.star import Star
+from audience_lens.schemas import DEALT
 
 
 def reasons(spark, source, *rows):
@@ -122,3 +125,30 @@ def test_hot_key_is_pruned_before_the_shuffle(spark):
     plan = silver.clean_ecommerce_orders(raw(spark, "ecommerce_orders", ORDER))._jdf.queryExecution()
     text = plan.executedPlan().toString()
     assert text.count("WindowGroupLimit") == 2
+
+
+def test_orders_dealt_by_the_join_are_not_dealt_again(spark, sf_dir):
+    star = Star(spark, sf_dir)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = star.cleaned().ecommerce_orders
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        plain = silver.clean_ecommerce_orders(star.raw("ecommerce_orders"))
+        assert plan.count("Exchange hashpartitioning") == 2  # the two sides of the join
+        assert dealt.columns == plain.columns
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_dealt_copies_and_orders_without_an_id(spark):
+    rows = [ORDER, ORDER | {"purchase_timestamp": "2025-08-01 10:00:00"}, ORDER | {"order_id": " "}, ORDER | {"order_id": None},
+            ORDER | {"order_id": "O2", "revenue": "-1", "purchase_timestamp": "2025-08-01 10:00:00"}, ORDER | {"order_id": "O2"}]
+    plain = raw(spark, "ecommerce_orders", *rows)
+    for drop_first in (False, True):
+        got = silver.clean_ecommerce_orders(plain.withColumn(DEALT, F.substring("order_id", 2, 1)), drop_first)
+        want = silver.clean_ecommerce_orders(plain, drop_first)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert got.count() == (2 if drop_first else 1)
