@@ -93,3 +93,9 @@ def test_expected_files_need_no_shuffle(spark, tmp_path):
     (tmp_path / "a.csv").write_text(f"{EXPECTED}\n{LINE}\n")
     plan = tables.ingest_batch(spark, str(tmp_path), "marketing_events")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_each_line_is_parsed_once_per_width(spark, landed):
+    plan = tables.ingest_batch(spark, landed, "marketing_events")._jdf.queryExecution().optimizedPlan().toString()
+    widths = {len(MAIL), 2, 9, 4}
+    assert plan.count("from_csv(") == len(widths)
