@@ -14,7 +14,8 @@ from audience_lens.operators import expectations as ex
 from audience_lens.plans import increment, medallion
 from audience_lens.schemas import RAW_COLUMNS, SOURCES
 from audience_lens.sources import commits, generator
-from audience_lens.sources.lake import KEPT, Lake
+from audience_lens.plans.star import MARK, Star
+from audience_lens.sources.lake import KEPT, Lake, Run
 from frames import MAIL, ORDER, PERSON, TICKET, WEB, raw
 
 CFG = EngineConfig()
@@ -218,3 +219,26 @@ def test_states_merge_to_the_features(spark):
         **{s: rows(spark, s, {}) for s in SOURCES if s != "web_events"}}).web_events, "web_events")
     for cfg in (CFG, MIDNIGHT, EngineConfig(window_days=0)):
         same(ds.web_features(ds.web_days(web), ds.web_sessions(web), web, cfg), ft.web_features(web.drop("day"), cfg))
+
+
+def test_new_and_old_copies_are_found_in_one_pass(spark, tmp_path, monkeypatch):
+    staged, root = [], str(tmp_path)
+    real = Run.staged
+    monkeypatch.setattr(Run, "staged", lambda run, df: staged.append(df.columns) or real(run, df))
+    rest = {"web_events": [WEB], "ticket_orders": [TICKET], "marketing_events": [MAIL]}
+    for revenue, ts in (("10", "2025-09-01 10:00:00"), ("7", "2025-08-01 10:00:00")):
+        rows = {"supporters": [PERSON], "ecommerce_orders": [ORDER | {"revenue": revenue, "purchase_timestamp": ts}] * 2, **rest}
+        land({source: raw(spark, source, *own) for source, own in rows.items()}, f"{root}/landing")
+        staged.clear()
+        increment.advance(spark, f"{root}/landing", root, CFG, at(), 4)
+        assert sum(c == increment._FRESH for columns in staged for c in columns) == 2  # one for each keyed source
+    check_equals_rebuild(spark, root, CFG)
+
+
+def test_landings_take_marked_rows_that_are_written_once(spark, sf_dir):
+    star = Star(spark, sf_dir)
+    for source in SOURCES:
+        rows = star.raw(source)
+        text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns], F.xxhash64(*rows.columns).alias(MARK))
+        same(star.marked(source), text)
+        assert star.marked(source).inputFiles() == star.marked(source).inputFiles() != rows.inputFiles()
