@@ -9,6 +9,8 @@ from audience_lens.operators import expectations as ex
 from audience_lens.operators import silver
 from audience_lens.plans.star import Star
 from audience_lens.schemas import DEALT
+from audience_lens.sources import adapters
+from audience_lens.sources.workspace import hot_keys_split
 
 
 def reasons(spark, source, *rows):
@@ -132,7 +134,7 @@ def test_orders_dealt_by_the_join_are_not_dealt_again(spark, sf_dir):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        dealt = star.cleaned().ecommerce_orders
+        dealt = silver.clean_ecommerce_orders(adapters.RAW_DEALT["ecommerce_orders"](star.table))
         plan = dealt._jdf.queryExecution().executedPlan().toString()
         plain = silver.clean_ecommerce_orders(star.raw("ecommerce_orders"))
         assert plan.count("Exchange hashpartitioning") == 2  # the two sides of the join
@@ -152,3 +154,29 @@ def test_dealt_copies_and_orders_without_an_id(spark):
         assert got.columns == want.columns
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         assert got.count() == (2 if drop_first else 1)
+
+
+def test_a_hot_order_is_split_although_copies_are_found_where_the_join_leaves_them(spark, sf_dir):
+    star = Star(spark, sf_dir)
+    hot = F.when(F.col("l_orderkey") % 3 == 0, 4).otherwise(F.col("l_orderkey")).cast("long").alias("l_orderkey")
+
+    def table(name):
+        rows = star.table(name)
+        if name != "lineitem":
+            return rows
+        return rows.select(hot, *[c for c in rows.columns if c != "l_orderkey"]).repartition(8)
+
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {name: spark.conf.get(name, None) for name in small}
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        with hot_keys_split(spark):
+            dealt = silver.clean_ecommerce_orders(adapters.RAW_DEALT["ecommerce_orders"](table))
+            got = sorted(map(str, dealt.collect()))
+        assert "skew=true" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert got == sorted(map(str, silver.clean_ecommerce_orders(adapters.raw_ecommerce_orders(table)).collect()))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
