@@ -1,17 +1,24 @@
 """Operators over texts against plain restatements, on the smallest tables and on awkward rows."""
 
+import glob
 import hashlib
+import os
 import random
+import tempfile
+import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from audience_lens.llm import (byte_bpe, chunk_bpe, jaccard_join, packing, quality, secrets, suffix_dedup, token_counts,
                                token_files)
+from audience_lens.llm.common import Scratch
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -296,6 +303,54 @@ def test_jaccard_stragglers(spark, monkeypatch):
     assert len(pairs) > 3 and sum(pairs) < (170 * 169 + 2 * 110 * 109) / 2 / 3  # of all pairs that share a base
 
 
+def test_shared_counts(spark, monkeypatch):
+    """N-grams that another group has, of whole sets and of halves; those of full buckets are left out of both counts."""
+    rng = np.random.default_rng(4)
+    pool = jaccard_join.mix64(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    own = {i: np.unique(rng.choice(pool, 60)) for i in range(80)}
+    group = {i: i // 5 for i in own}
+    for bins, most in ((1, 1 << 30), (7, 1 << 30), (3, 4)):
+        monkeypatch.setattr(jaccard_join, "BINS", bins)
+        monkeypatch.setattr(jaccard_join, "USUAL", most)
+        monkeypatch.setattr(jaccard_join, "COMMON", 0)
+        bucket = {int(g): int(g >> np.uint64(64 - jaccard_join.BUCKET_BITS)) for g in pool}
+        counts = np.zeros(1 << jaccard_join.BUCKET_BITS, np.int64)
+        for x in own.values():
+            np.add.at(counts, [bucket[int(g)] for g in x], 1)
+        told = {i: {int(g) for g in x if counts[bucket[int(g)]] <= most} for i, x in own.items()}
+        plain = {i: sum(any(g in told[k] for k in own if group[k] != group[i]) for g in told[i]) for i in own}
+        rows = [(i, group[i], bytearray(x.tobytes()), len(told[i])) for i, x in own.items()]
+        sets = spark.createDataFrame(rows, "rk long, c long, own binary, told long").repartition(3)
+        out = {r.rk: r.own for r in jaccard_join.shared_counts(sets, counts).collect()}
+        assert out == {i: n for i, n in plain.items() if n}
+        assert most > 4 or 0 < sum(map(len, told.values())) < sum(map(len, own.values()))
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    folder = spark.sparkContext.getConf().get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()))
+    files = lambda: set(glob.glob(f"{folder}/**/blockmgr-*/*/shuffle_*.data", recursive=True))
+    before, scratch, until = files(), Scratch(), time.time() + 20
+    out = scratch.saved(spark.range(5000).groupBy(F.expr("id % 997").alias("k")).count(), "counts")
+    assert out.count() == 997
+    scratch.saved(out.repartition(3, "k"), "dealt")
+    while len(files() - before) > 1 and time.time() < until:  # the count may keep one of its own
+        time.sleep(0.2)
+    assert len(files() - before) <= 1
+    scratch.clear()
+
+
+def test_hashing_holds_little_at_a_time():
+    """A worker's share of an executor's memory: a text of several MB is hashed by stretches, alike wherever they end."""
+    text = " ".join(f"w{i * i % 70001}" for i in range(700_000)).encode()
+    jaccard_join._powers.cache_clear()
+    tracemalloc.start()
+    places, hashes = jaccard_join.word_hashes(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - places.nbytes - hashes.nbytes < 70e6
+    assert (places[-1], hashes[-1]) == (text.rindex(b" ") + 1, jaccard_join.word_hashes(text[text.rindex(b" ") + 1:])[1][0])
+
+
 def test_one_of_each_group_without_usable_ids(spark):
     """Groups are told apart by themselves: ids may be null or stand for several texts."""
     words = lambda s, n=40: [f"{s}{i}" for i in range(n)]
