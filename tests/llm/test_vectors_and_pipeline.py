@@ -154,6 +154,27 @@ def test_every_term_and_example_is_indexed(spark):
         assert np.allclose(scores, want) and abs(scores[0] - 1) < 1e-9
 
 
+def test_terms_of_many_texts_together(monkeypatch):
+    """Counted together, texts have the terms they have alone, however they are split and when the memo is full."""
+    rng = random.Random(5)
+    words = ["a", "abcd", "abcde", "abcdef", "abcdefg", "unknownword", "Ümlaut", "x1y"]
+    some = [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(60)] + ["", "12 3"]
+    terms = {t: i for i, t in enumerate(sorted({t for w in words if w != "unknownword" for t in toxicity.terms_of(w.lower())}))}
+    plain = [toxicity._counts(text, toxicity._TermIds(terms)) for text in some]
+    for at_once, memo in ((1 << 20, 500_000), (200, 2)):
+        monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+        monkeypatch.setattr(toxicity, "MEMO", memo)
+        own = toxicity._Words(terms)
+        for _ in range(2):
+            assert [dict(zip(t.tolist(), n.tolist())) for t, n in own.counted(some)] == plain
+    assert [len(t) for t, _ in toxicity._Words({}).counted(some)] == [0] * len(some)
+    many = [f"w{i}".translate(str.maketrans("0123456789", "klmnopqrst")) for i in range(9000)]
+    ids = {t: i for i, t in enumerate(sorted({t for w in many for t in toxicity.terms_of(w)}))}
+    held = toxicity._Words(ids).counted([" ".join(many)])[0]
+    assert dict(zip(held[0].tolist(), held[1].tolist())) == toxicity._counts(" ".join(many), toxicity._TermIds(ids))
+    assert toxicity._Words(ids).counted([]) == []
+
+
 def test_held_out_accuracy(spark, sf_dir):
     if sf_dir.endswith("sf0.001"):
         sf_dir = sf_dir[:-1] + "1"  # labels are too few in the smallest tables
