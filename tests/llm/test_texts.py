@@ -323,6 +323,10 @@ def test_shared_counts(spark, monkeypatch):
         sets = spark.createDataFrame(rows, "rk long, c long, own binary, told long").repartition(3)
         out = {r.rk: r.own for r in jaccard_join.shared_counts(sets, counts).collect()}
         assert out == {i: n for i, n in plain.items() if n}
+        rows = [(i, group[i], bytearray((np.array(sorted(told[i]), np.uint64) >> np.uint64(1)).astype(np.uint32).tobytes()),
+                 len(told[i])) for i in own]
+        sets = spark.createDataFrame(rows, "rk long, c long, own binary, told long").repartition(3)
+        assert {r.rk: r.own for r in jaccard_join.shared_counts(sets, counts, half=True).collect()} == out
         assert most > 4 or 0 < sum(map(len, told.values())) < sum(map(len, own.values()))
 
 
