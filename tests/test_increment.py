@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from audience_lens.operators import expectations as ex
 from audience_lens.plans import increment, medallion
 from audience_lens.schemas import RAW_COLUMNS, SOURCES
 from audience_lens.sources import commits, generator
-from audience_lens.plans.star import MARK, Star
+from audience_lens.plans.star import LANDING, MARK, Star
 from audience_lens.sources.lake import KEPT, Lake, Run
 from frames import MAIL, ORDER, PERSON, TICKET, WEB, raw
 
@@ -242,3 +243,91 @@ def test_landings_take_marked_rows_that_are_written_once(spark, sf_dir):
         text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns], F.xxhash64(*rows.columns).alias(MARK))
         same(star.marked(source), text)
         assert star.marked(source).inputFiles() == star.marked(source).inputFiles() != rows.inputFiles()
+
+
+def shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {str(f) for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_a_run_keeps_no_shuffle_files_and_no_staged_rows(spark, small, monkeypatch):
+    landing, root = small
+    staged = []
+    real = commits.create_once
+    monkeypatch.setattr(commits, "create_once", lambda *a: staged.append(commits.names(spark, f"{root}/lake/data/staged")) or real(*a))
+    land({"web_events": rows(spark, "web_events", WEB, {"session_id": "SESS7"}, {"session_id": "SESS7"}),
+          "ecommerce_orders": rows(spark, "ecommerce_orders", ORDER, {"order_id": "O7"}, {"order_id": "O7"})}, landing)
+    before = shuffle_files(spark)
+    increment.advance(spark, landing, root, CFG, at())
+    assert [[n for n in names if "=" in n] for names in staged] == [[]]
+    for _ in range(50):  # files go in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    check_equals_rebuild(spark, root, CFG)
+
+
+def test_landed_files_go_when_bronze_has_their_rows(spark, small):
+    landing, root = small
+    held = {f for f in glob.glob(f"{landing}/*/part-*")}
+    assert {f.split(os.sep)[-2] for f in held} == set(SOURCES)  # kept unless asked otherwise
+    land({"web_events": rows(spark, "web_events", WEB, {"session_id": "SESS8"}), "ecommerce_orders": rows(spark, "ecommerce_orders", ORDER, {"order_id": "O8"})}, landing)
+    increment.advance(spark, landing, root, CFG, at(), keep_landed=False)
+    assert set(glob.glob(f"{landing}/*/part-*")) == held  # the new ones have gone, those of the run before are another's
+    assert increment.advance(spark, landing, root, CFG, at(), keep_landed=False) == 3
+    land({"web_events": rows(spark, "web_events", WEB, {"session_id": "SESS9"})}, landing)
+    increment.advance(spark, landing, root, CFG, at())
+    assert len(glob.glob(f"{landing}/*/part-*")) == len(held) + 1
+    check_equals_rebuild(spark, root, CFG)
+
+
+def test_periods_keep_the_orders_of_buckets_that_nothing_has_come_to(spark, small):
+    landing, root = small
+    more = [{"order_id": f"P{i}"} for i in range(12)]
+    land({"ecommerce_orders": rows(spark, "ecommerce_orders", ORDER, *more)}, landing)
+    increment.advance(spark, landing, root, CFG, at())
+    for late in ({"purchase_timestamp": "2025-08-30 10:00:00"}, {"purchase_timestamp": "2025-08-29 10:00:00", "revenue": "-1"}):
+        land({"ecommerce_orders": rows(spark, "ecommerce_orders", ORDER, {"order_id": "P3"} | late)}, landing)
+        increment.advance(spark, landing, root, CFG, at())
+        check_equals_rebuild(spark, root, CFG)
+    assert Lake(spark, f"{root}/lake").snapshot().table("silver.ecommerce_orders").filter("order_id LIKE 'P%'").count() == 11
+
+
+def test_extracts_hold_both_landings_in_packed_files(spark, sf_dir, tmp_path, monkeypatch):
+    star, landing, folder = Star(spark, sf_dir), str(tmp_path / "landing"), str(tmp_path / "extracts")
+    mark = F.pmod(MARK, F.lit(10))
+
+    def read(source):
+        names = RAW_COLUMNS[source]
+        return spark.read.schema(", ".join(f"{c} string" for c in names)).option("header", "true").csv(f"{landing}/{source}")
+
+    def as_landed(frame, source):
+        path = str(tmp_path / "plain" / source)
+        frame.drop(MARK).write.mode("overwrite").option("header", "true").csv(path)
+        return spark.read.schema(read(source).schema).option("header", "true").csv(path)
+
+    for source in ("ecommerce_orders", "supporters"):
+        marked = star.marked(source)
+        star._extract(folder, source)
+        star._land(folder, landing, 0, source)
+        same(read(source), as_landed(marked.filter(mark < 5), source))
+        star._land(folder, landing, 1, source)
+        same(read(source), as_landed(marked.unionByName(marked.filter(mark == 3)), source))
+        assert all(f.endswith(".gz") for f in read(source).inputFiles())
+        assert not [n for i in (0, 1) for n in commits.names(spark, f"{folder}/{source}/{LANDING}={i}")]
+    nobody = raw(spark, "web_events").withColumn(MARK, F.lit(0).cast("long"))
+    monkeypatch.setattr(Star, "_marked", lambda *_: nobody)
+    star._extract(folder, "web_events")
+    star._land(folder, landing, 0, "web_events")
+    assert len(read("web_events").inputFiles()) == 1 and read("web_events").count() == 0  # a header alone
+    assert [r[0] for r in spark.read.text(f"{landing}/web_events").collect()] == [",".join(RAW_COLUMNS["web_events"])]
+
+
+def test_the_lake_holds_its_rows_once(spark, sf_dir):
+    star = Star(spark, sf_dir)
+    now = star.lake()
+    root = now.root.removesuffix("/lake")
+    assert not [f for d in ("landing", "extracts") for f in glob.glob(f"{root}/{d}/**/*.csv*", recursive=True)]
+    files = now.table("silver.ecommerce_orders").inputFiles() + spark.read.parquet(f"{root}/bronze/ecommerce_orders").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
